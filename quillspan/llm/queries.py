@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .chat_format import digest, format_conversations
 from .common import table
+from .line_dedup import keep_bitmaps, kept_text
 from .media import media_columns, media_digest
+from .packing import pack
 from .sentencepiece_codec import encode_documents
 from .sharding import assign_shards
 from .token_counts import count_tokens
@@ -45,9 +47,57 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 8)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = keep_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(kept_text(F.col("text"), F.col("keep_bitmap")), 256)
+    return marked.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"), "keep_bitmap")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_chat_format, op4_token_counts, op5_media_columns, op6_sharding)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_chat_format, op4_token_counts, op5_media_columns, op6_sharding, op9_packing, op10_line_dedup)}
+
+
+OP10_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT k.*, r.keeper IS NOT NULL AND k.doc_id <> r.keeper AS dropped FROM keyed k LEFT JOIN repeated r USING (key)
+), packed AS (
+  SELECT doc_id, pos, line, dropped, pos // 8 AS byte, CASE WHEN dropped THEN 0 ELSE 128 >> (pos % 8)::INT END AS bit FROM judged
+), bytes AS (
+  SELECT doc_id, string_agg(printf('%02X', b::INT), '' ORDER BY byte) AS hex FROM (SELECT doc_id, byte, sum(bit) AS b FROM packed GROUP BY doc_id, byte) GROUP BY doc_id
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256,
+  CASE WHEN count_if(dropped) > 0 THEN unhex(any_value(hex)) END AS keep_bitmap
+FROM packed JOIN bytes USING (doc_id) GROUP BY doc_id
+"""
+
+OP3_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) t(i)
+), marked AS (
+  SELECT *, coalesce(lag(role) OVER w, role || '.') <> role AS starts FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(replace(text, '<|', '<||')) + CASE WHEN starts THEN 24 + length(replace(replace(role, '<|', '<||'), chr(10), '<|n|>')) ELSE 10 END)::BIGINT AS formatted_chars,
+  count_if(starts)::BIGINT AS n_blocks, true AS loss_mask_fits
+FROM marked GROUP BY conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": OP3_SQL, "op10_line_dedup": OP10_SQL}
