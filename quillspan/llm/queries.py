@@ -13,6 +13,7 @@ from .common import table
 from .line_dedup import keep_bitmaps, kept_text
 from .media import media_columns, media_digest
 from .packing import pack
+from .quality import fit, quality_rules
 from .sentencepiece_codec import encode_documents
 from .sharding import assign_shards
 from .token_counts import count_tokens
@@ -47,6 +48,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 8)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,7 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_chat_format, op4_token_counts, op5_media_columns, op6_sharding, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_chat_format, op4_token_counts, op5_media_columns, op6_sharding, op7_quality_rules, op9_packing, op10_line_dedup)}
 
 
 OP10_SQL = """
