@@ -12,6 +12,7 @@ from .chat_format import digest, format_conversations
 from .common import table
 from .line_dedup import keep_bitmaps, kept_text
 from .media import media_columns, media_digest
+from .ngram_join import jaccard_classes
 from .packing import pack
 from .quality import fit, quality_rules
 from .sentencepiece_codec import encode_documents
@@ -28,6 +29,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_ids", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace(text, F.lit("▁"), F.lit(" "))).alias("round_trip"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
@@ -65,7 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_chat_format, op4_token_counts, op5_media_columns, op6_sharding, op7_quality_rules, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_chat_format, op4_token_counts, op5_media_columns, op6_sharding, op7_quality_rules, op9_packing, op10_line_dedup)}
 
 
 OP10_SQL = """
