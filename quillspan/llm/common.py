@@ -16,14 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable files in the folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; only where none is named (tests) a local one is made."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"file://{tempfile.mkdtemp(prefix='quillspan-')}"
+
 
-    The folder is read from the session; only where none is named (tests) is a local one set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through reliable files in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspan-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -276,7 +276,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, class_id, n_links, n_text_links and n_copies.
+    """Per row: key, class_id, n_links, n_text_links, n_copies and text_hash (xxhash64 of the text).
 
     Two texts are linked if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more.
     class_id is the least key among the texts that links connect; n_copies counts other rows with the
@@ -284,7 +284,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     A text of fewer than 5 words is one shingle. A text without words, null or empty, links to nothing
     and is a class alone. A row with a null key has a null class and no links. Repeated rows are copies.
     An empty table gives an empty result; other columns are left behind."""
-    rows = checkpoint(df.select(F.col(key).alias("id"), signature(F.col(text)).alias("s")).select("id", "s.*"))
+    rows = checkpoint(df.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), signature(F.col(text)).alias("s")).select("id", "text_hash", "s.*"))
     sets = rows.where("id IS NOT NULL AND ckey IS NOT NULL").groupBy("ckey").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     first = rows.select(F.col("id").alias("rep"), F.col("ckey").alias("_ckey"), "n_shingles", "sig").dropDuplicates(["rep", "_ckey"])
     nodes = sets.join(first, (sets["ckey"] == first["_ckey"]) & (sets["rep"] == first["rep"])).select("ckey", sets["rep"], "copies", "n_shingles", "sig")
@@ -306,8 +306,8 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     linked = named.join(least, "root").join(links, F.col("node") == F.col("a")).select("node", "class_id", "links", "doc_links")
     known = nodes.select("ckey", "rep", "copies", "node").join(linked, "node", "left").drop("node")
-    out = rows.select("id", "ckey").join(known.withColumnRenamed("ckey", "_ckey"), F.col("ckey") == F.col("_ckey"), "left")
+    out = rows.select("id", "text_hash", "ckey").join(known.withColumnRenamed("ckey", "_ckey"), F.col("ckey") == F.col("_ckey"), "left")
     copies = F.when(F.col("id").isNotNull(), F.coalesce(F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long")
     more = lambda c: F.when(F.col("id").isNotNull(), F.coalesce(F.col(c), F.lit(0))).otherwise(0).cast("long")
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "rep", "id"))
-    return out.select(F.col("id").alias(key), class_id.alias("class_id"), (more("doc_links") + copies).alias("n_links"), more("links").alias("n_text_links"), copies.alias("n_copies"))
+    return out.select(F.col("id").alias(key), class_id.alias("class_id"), (more("doc_links") + copies).alias("n_links"), more("links").alias("n_text_links"), copies.alias("n_copies"), "text_hash")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import digest, format_conversations
 from .common import table
+from .language_id import identify, learn
 from .line_dedup import keep_bitmaps, kept_text
 from .media import media_columns, media_digest
 from .ngram_join import jaccard_classes
@@ -59,6 +60,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def held_out():
+    """Rows that op8 never learns from."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    samples = learn(docs, ~held_out())
+    return identify(docs.select("doc_id", "text"), samples).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -70,7 +82,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_chat_format, op4_token_counts, op5_media_columns, op6_sharding, op7_quality_rules, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_chat_format, op4_token_counts, op5_media_columns, op6_sharding, op7_quality_rules, op8_language_id, op9_packing, op10_line_dedup)}
 
 
 OP10_SQL = """
