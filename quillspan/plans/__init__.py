@@ -1,0 +1 @@
+"""Queries: importing a module of this package registers its queries."""
