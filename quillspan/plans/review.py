@@ -40,10 +40,11 @@ def q05_active_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT r.id AS requested_id, u.id IS NULL AS is_missing, coalesce(u.role <> 'expert' OR NOT u.is_active, false) AS is_refused
-FROM (SELECT unnest(range(0, 400, 7)) AS id) r LEFT JOIN users u ON u.id = r.id""")
+FROM (SELECT s_suppkey AS id FROM supplier) r LEFT JOIN users u ON u.id = r.id""")
 def q06_requested_experts_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requested = spark.range(0, 400, 7).withColumnRenamed("id", "requested_id")
-    users = Views(spark, sf_dir).users
+    v = Views(spark, sf_dir)
+    requested = v.table("supplier").select(F.col("s_suppkey").alias("requested_id"))
+    users = v.users
     joined = requested.join(users, F.col("requested_id") == users["id"], "left")
     refused = F.coalesce((F.col("role") != "expert") | ~F.col("is_active"), F.lit(False))
     return joined.select("requested_id", F.col("id").isNull().alias("is_missing"), refused.alias("is_refused"))
@@ -121,11 +122,11 @@ def q12_article_list_with_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o.o_orderkey AS article_id, o.o_orderstatus AS status, count(c.concept_name) AS n_concepts,
   coalesce(list_sort(list(c.concept_name || '/' || c.concept_code) FILTER (c.concept_name IS NOT NULL)), []) AS concepts
-FROM orders o LEFT JOIN concepts c ON c.article_id = o.o_orderkey WHERE o.o_orderkey < 200 GROUP BY ALL""")
+FROM orders o LEFT JOIN concepts c ON c.article_id = o.o_orderkey GROUP BY ALL""")
 def q13_article_detail_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    grouped = v.concepts.where("article_id < 200").groupBy("article_id").agg(F.count(F.lit(1)).alias("n_concepts"), F.array_sort(F.collect_list(F.concat_ws("/", "concept_name", "concept_code"))).alias("concepts"))
-    articles = v.table("orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("article_id"), F.col("o_orderstatus").alias("status"))
+    grouped = v.concepts.groupBy("article_id").agg(F.count(F.lit(1)).alias("n_concepts"), F.array_sort(F.collect_list(F.concat_ws("/", "concept_name", "concept_code"))).alias("concepts"))
+    articles = v.table("orders").select(F.col("o_orderkey").alias("article_id"), F.col("o_orderstatus").alias("status"))
     out = articles.join(grouped, "article_id", "left")
     return out.select("article_id", "status", F.coalesce("n_concepts", F.lit(0)).alias("n_concepts"), F.coalesce("concepts", F.array().cast("array<string>")).alias("concepts"))
 
@@ -406,14 +407,14 @@ def snk09_assignment_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Views(spark, sf_dir).sessions.select(F.col("id").alias("session_id"), roles)
 
 
-@query("""WITH u AS (SELECT id AS article_id, max(id) AS version FROM articles WHERE id % 3 = 0 GROUP BY id)
+@query("""WITH u AS (SELECT id AS article_id, max(id) AS version FROM articles WHERE lang <> 'en' GROUP BY id)
 SELECT coalesce(o.article_id, n.article_id) AS article_id, CASE WHEN n.article_id IS NULL THEN o.status ELSE 'UPDATED' END AS status, coalesce(CASE WHEN n.version % 2 = 0 THEN n.version END, o.version) AS version
-FROM (SELECT id AS article_id, 'STORED' AS status, -id AS version FROM articles WHERE id % 2 = 0) o FULL JOIN u n USING (article_id)""")
+FROM (SELECT id AS article_id, 'STORED' AS status, -id AS version FROM articles WHERE lang IN ('en', 'fr')) o FULL JOIN u n USING (article_id)""")
 def snk05_upsert_language_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new version is taken unless it is null; the status always."""
     articles = Views(spark, sf_dir).articles
-    stored = articles.where("id % 2 = 0").select(F.col("id").alias("article_id"), F.lit("STORED").alias("status"), (-F.col("id")).alias("version"))
-    updates = articles.where("id % 3 = 0").select(F.col("id").alias("article_id"), F.lit("UPDATED").alias("status"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("version"))
+    stored = articles.where("lang IN ('en', 'fr')").select(F.col("id").alias("article_id"), F.lit("STORED").alias("status"), (-F.col("id")).alias("version"))
+    updates = articles.where("lang <> 'en'").select(F.col("id").alias("article_id"), F.lit("UPDATED").alias("status"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("version"))
     return upsert(stored, updates, ["article_id"], [F.desc("version")], {"version": keep_known})
 
 
@@ -428,19 +429,19 @@ def snk03_upsert_alias_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(known, updates, ["surface_form", "concept_code"], [F.desc("occurrences")], {"status": keep_old})
 
 
-@query("""SELECT article_id, payload FROM (SELECT DISTINCT article_id, payload FROM ai_labels WHERE id % 2 = 1) n
-WHERE NOT EXISTS (SELECT 1 FROM ai_labels o WHERE o.id % 2 = 0 AND o.article_id = n.article_id AND o.payload = n.payload)""")
+@query("""SELECT article_id, payload FROM (SELECT DISTINCT article_id, payload FROM ai_labels WHERE created_at >= TIMESTAMP '2024-01-15') n
+WHERE NOT EXISTS (SELECT 1 FROM ai_labels o WHERE o.created_at < TIMESTAMP '2024-01-15' AND o.article_id = n.article_id AND o.payload = n.payload)""")
 def snk08_idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = Views(spark, sf_dir).ai_labels
     keyed = labels.withColumn("digest", F.sha2("payload", 256))
-    return append_missing(keyed.where("id % 2 = 0"), keyed.where("id % 2 = 1"), ["article_id", "digest"]).select("article_id", "payload")
+    return append_missing(keyed.where("created_at < TIMESTAMP '2024-01-15'"), keyed.where("created_at >= TIMESTAMP '2024-01-15'"), ["article_id", "digest"]).select("article_id", "payload")
 
 
-@query("""SELECT article_id, concept_name FROM concepts WHERE article_id % 5 <> 0 AND article_id < 500 UNION ALL SELECT o_orderkey, 'fresh' FROM orders WHERE o_orderkey < 500 AND o_orderkey % 5 = 0""")
+@query("""SELECT article_id, concept_name FROM concepts WHERE article_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_orderkey, 'fresh' FROM orders WHERE o_orderstatus = 'P'""")
 def snk02_replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    stored = v.concepts.where("article_id < 500").select("article_id", "concept_name")
-    fresh = v.table("orders").where("o_orderkey < 500 AND o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("article_id"), F.lit("fresh").alias("concept_name"))
+    stored = v.concepts.select("article_id", "concept_name")
+    fresh = v.table("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("article_id"), F.lit("fresh").alias("concept_name"))
     return replace_by_key(stored, fresh, ["article_id"])
 
 

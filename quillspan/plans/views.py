@@ -40,12 +40,12 @@ class Views:
     @property
     def sessions(self) -> DataFrame:
         status = F.when(F.col("o_orderstatus") == "O", "OPEN").when(F.col("o_orderstatus") == "F", "CLOSED").otherwise("CANCELLED")
-        return self.table("orders").where("o_orderkey < 20").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("reviewer_id"), status.alias("status"), F.concat(F.lit("session "), F.col("o_orderkey")).alias("name"))
+        return self.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("reviewer_id"), status.alias("status"), F.concat(F.lit("session "), F.col("o_orderkey")).alias("name"))
 
     @property
     def assignments(self) -> DataFrame:
         reviewed = self.reviews.select("session_id", F.col("document_id").cast("long").alias("article_id"), "expert_id")
-        more = self.table("documents").where("doc_id % 7 = 0").select(F.pmod("doc_id", F.lit(20)).alias("session_id"), F.col("doc_id").alias("article_id"), F.pmod("doc_id", F.lit(150)).alias("expert_id"))
+        more = self.table("documents").select(F.pmod("doc_id", F.lit(20)).alias("session_id"), F.col("doc_id").alias("article_id"), F.pmod("doc_id", F.lit(150)).alias("expert_id"))
         return reviewed.unionByName(more).distinct()
 
     @property
@@ -101,8 +101,8 @@ class Views:
 SQL = {
     "articles": "SELECT doc_id AS id, substring(text, 1, 80) AS title, text AS abstract, source, lang, (2000 + doc_id % 25)::INT AS year FROM documents",
     "reviews": "SELECT event_id AS id, json_extract_string(props, '$.k')::INT AS document_id, user_id AS expert_id, user_id % 20 AS session_id, event_type AS review_status, value, ts AS created_at FROM events",
-    "sessions": "SELECT o_orderkey AS id, o_custkey AS reviewer_id, CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'CLOSED' ELSE 'CANCELLED' END AS status, 'session ' || o_orderkey AS name FROM orders WHERE o_orderkey < 20",
-    "assignments": "SELECT DISTINCT session_id, document_id::BIGINT AS article_id, expert_id FROM reviews UNION SELECT doc_id % 20, doc_id, doc_id % 150 FROM documents WHERE doc_id % 7 = 0",
+    "sessions": "SELECT o_orderkey AS id, o_custkey AS reviewer_id, CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'CLOSED' ELSE 'CANCELLED' END AS status, 'session ' || o_orderkey AS name FROM orders",
+    "assignments": "SELECT DISTINCT session_id, document_id::BIGINT AS article_id, expert_id FROM reviews UNION SELECT doc_id % 20, doc_id, doc_id % 150 FROM documents",
     "users": "SELECT c_custkey AS id, c_name AS full_name, lower(c_name) AS email, CASE c_mktsegment WHEN 'BUILDING' THEN 'reviewer' WHEN 'MACHINERY' THEN 'admin' ELSE 'expert' END AS role, c_acctbal >= 0 AS is_active FROM customer",
     "ai_labels": "SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS article_id, props AS payload, value AS confidence, ts AS created_at FROM events WHERE event_type = 'view'",
     "adjudications": "SELECT event_id AS id, json_extract_string(props, '$.k')::INT AS document_id, user_id % 20 AS session_id, user_id AS reviewer_id, CASE WHEN event_id % 3 = 0 THEN 'RESOLVED' ELSE 'ESCALATED' END AS resolution_status, ts AS created_at FROM events WHERE event_type = 'purchase'",
