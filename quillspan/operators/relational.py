@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Mapping
 from functools import reduce
 
@@ -79,3 +80,27 @@ def append_missing(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataF
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator == 0, F.lit(0.0)).otherwise(numerator / denominator)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; a local one only where none is named."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspan-ckpt-"))
+    return df.checkpoint()
+
+
+def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """node and depth of all nodes that up to `depth` edges (a, b) reach from the nodes of `start`.
+
+    Breadth first: a level joins only its frontier, and each frontier is a checkpoint, so plans stay
+    flat. It ends early when a frontier is empty."""
+    frontier = cut(start.select("node", F.lit(0).alias("depth")))
+    seen = frontier
+    for level in range(1, depth + 1):
+        new = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        frontier = cut(new.withColumn("depth", F.lit(level)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
