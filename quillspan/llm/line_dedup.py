@@ -84,11 +84,11 @@ def keep_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     Rows with one id count as one document and each is judged by its own text; repeated rows all get
     the same bitmap. An empty table gives an empty result; columns of these names are replaced."""
     df = df.drop("n_lines", "n_dropped", "keep_bitmap")
-    drops = dropped_lines(df, key, text, min_chars, min_docs).groupBy("doc", "th").agg(F.array_sort(F.collect_set("pos")).alias("_drops"))
-    out = df.withColumn("_th", F.xxhash64(text)).join(drops, (F.col(key) == F.col("doc")) & (F.col("_th") == F.col("th")), "left")
+    drops = dropped_lines(df.select(key, text), key, text, min_chars, min_docs).groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_doc_th")).agg(F.array_sort(F.collect_set("pos")).alias("_drops"))
+    out = df.withColumn("_th", F.xxhash64(text)).join(drops, (F.col(key) == F.col("_doc")) & (F.col("_th") == F.col("_doc_th")), "left")
     out = out.withColumn("n_lines", F.size(split_lines(F.col(text))).cast("long"))
     out = out.withColumns({"n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long"), "keep_bitmap": F.when(F.col("_drops").isNotNull(), _bitmap(F.col("_drops"), F.col("n_lines").cast("int")))})
-    return out.drop("doc", "th", "_th", "_drops")
+    return out.drop("_doc", "_doc_th", "_th", "_drops")
 
 
 def kept_text(text: Column, bitmap: Column) -> Column:

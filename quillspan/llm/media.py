@@ -111,8 +111,8 @@ class Track:
     def offsets(self) -> np.ndarray:
         """The first byte of each sample, from the chunk table."""
         counts = np.zeros(len(self.chunks), np.int64)
-        firsts = [r[0] - 1 for r in self.runs]
-        for (first, per), stop in zip(self.runs, [*firsts[1:], len(self.chunks)], strict=True):
+        stops = [*[r[0] - 1 for r in self.runs[1:]], len(self.chunks)]
+        for (first, per), stop in zip(self.runs, stops, strict=False):
             counts[first - 1 : stop] = per
         if counts.sum() != len(self.sizes):
             raise ValueError("the chunk table does not hold all samples")
