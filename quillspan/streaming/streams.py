@@ -14,11 +14,11 @@ from ..operators.relational import upsert
 LIMIT, SECONDS = 5, 900
 
 
-def rate_limit(failures: DataFrame, key: str, at: str, limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
+def rate_limit(failures: DataFrame, key: str, at: str, limit: int = LIMIT, seconds: int = SECONDS, delay: str = "10 minutes") -> DataFrame:
     """Per failure: key, at, attempts (of the last `seconds`, this one too) and blocked (attempts > limit).
 
     State is the epoch seconds inside the window, so it is bounded by the rate; a key's state goes when
-    no failure came for that long. A batch's rows are taken in order of time."""
+    the watermark has passed its last failure by that long. A batch's rows are taken in order of time."""
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -31,12 +31,12 @@ def rate_limit(failures: DataFrame, key: str, at: str, limit: int = LIMIT, secon
             recent = [x for x in recent if t - seconds <= x <= t] + [t]
             attempts.append(len(recent))
         state.update((recent,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max((max(recent) + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: rows[key], at: rows[at], "attempts": attempts, "blocked": [a > limit for a in attempts]})
 
     types = dict(failures.dtypes)
     out = f"{key} {types[key]}, {at} {types[at]}, attempts bigint, blocked boolean"
-    return failures.groupBy(key).applyInPandasWithState(step, out, "recent array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return failures.withWatermark(at, delay).groupBy(key).applyInPandasWithState(step, out, "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def new_fingerprints(qa: DataFrame, at: str, delay: str = "1 hour", question: str = "question", answer: str = "answer") -> DataFrame:
