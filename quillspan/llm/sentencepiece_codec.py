@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,11 +32,12 @@ class StreamingViterbi:
     in the window meet in one boundary; only what follows it is kept. Where two neighbours never meet
     inside a piece all paths meet, so such parts are encoded apart and remembered."""
 
-    def __init__(self, model: PieceModel, memo: int = 250_000):
+    def __init__(self, model: PieceModel, memo: int = 100_000):
         self.model, self._find = model, model.chunk_pattern.findall
-        self._memo = Memo(lambda c: tuple(chain.from_iterable(map(self._part_memo.__getitem__, model.parts(c)))), memo)
-        self._part_memo = Memo(lambda c: tuple(chain.from_iterable(map(self._ids, self._within(c) if len(c) <= COMMIT_EVERY and model.kind == BPE else self.pieces(c)))), memo)
-        self._follows = Memo(self._stable, 250_000)
+        # ids are kept as the bytes of 32-bit integers: small, and joined without a list
+        self._memo = Memo(lambda c: b"".join(map(self._part_memo.__getitem__, model.parts(c))), memo)
+        self._part_memo = Memo(self._part, memo)
+        self._follows = Memo(self._stable, memo)
         self._unk_score = min(model.scores, default=0.0) - 10.0
         self._rank = model.rank() if model.kind == BPE else {}
         lengths: dict[str, set[int]] = {}
@@ -44,8 +46,9 @@ class StreamingViterbi:
             if len(piece) > 1:
                 if model.kind == BPE and not self._made(piece):
                     continue
-                lengths.setdefault(piece[-2:], set()).add(len(piece))
-        self._lengths = {tail: sorted(found, reverse=True) for tail, found in lengths.items()}
+                lengths.setdefault(piece[-3:], set()).add(len(piece))
+        # by the last three characters (two for pieces of two): lengths of the pieces that end so, the longest first
+        self._lengths = {tail: sorted(found | lengths.get(tail[-2:], set()), reverse=True) for tail, found in lengths.items()}
 
     def _made(self, piece: str) -> bool:
         """Whether merging makes this piece out of its characters; notes its last merge."""
@@ -95,7 +98,7 @@ class StreamingViterbi:
         ids, lengths, follows = self.model.ids, self._lengths, self._follows
         last = ["", text[0]]
         for end in range(2, len(text) + 1):
-            for n in lengths.get(text[end - 2 : end], ()):
+            for n in lengths.get(text[end - 3 : end] if end > 2 else text[:2]) or lengths.get(text[end - 2 : end], ()):
                 if n <= end and (piece := text[end - n : end]) in ids:
                     before = last[end - n]
                     if not before or follows[before, piece]:
@@ -116,7 +119,7 @@ class StreamingViterbi:
             end = len(window)
             if byte_pair:
                 best = char
-                for n in lengths.get(window[-2:], ()):
+                for n in lengths.get(window[-3:]) or lengths.get(window[-2:], ()):
                     if n <= end and (piece := window[end - n :]) in ids:
                         before = last[end - n] or carry
                         if not before or follows[before, piece]:
@@ -126,7 +129,7 @@ class StreamingViterbi:
             else:
                 i = ids.get(char)
                 best, best_score = char, score[-1] + (self._unk_score if i is None else scores[i])
-                for n in lengths.get(window[-2:], ()):
+                for n in lengths.get(window[-3:]) or lengths.get(window[-2:], ()):
                     if n <= end and (i := ids.get(window[end - n :])) is not None and types[i] != UNUSED and (s := score[end - n] + scores[i]) > best_score:
                         best, best_score = window[end - n :], s
                 last.append(best)
@@ -156,8 +159,13 @@ class StreamingViterbi:
             alive.add(top - len(last[top]))
         return alive.pop()
 
-    def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self._memo.__getitem__, self._find(self.model.normalised(text))))) if text else []
+    def _part(self, part: str) -> bytes:
+        pieces = self._within(part) if len(part) <= COMMIT_EVERY and self.model.kind == BPE else self.pieces(part)
+        return array("i", chain.from_iterable(map(self._ids, pieces))).tobytes()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids as 32-bit integers."""
+        return np.frombuffer(b"".join(map(self._memo.__getitem__, self._find(self.model.normalised(text)))) if text else b"", np.int32)
 
 
 class Decoder:
@@ -173,9 +181,13 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def _codec(path: str) -> tuple[StreamingViterbi, Decoder]:
-    model = PieceModel.load(path)
-    return StreamingViterbi(model), Decoder(model)
+def _viterbi(path: str) -> StreamingViterbi:
+    return StreamingViterbi(PieceModel.load(path))
+
+
+@lru_cache(maxsize=2)
+def _decoder(path: str) -> Decoder:
+    return Decoder(PieceModel.load(path))
 
 
 def encode(text: Column, model_path: str) -> Column:
@@ -183,15 +195,12 @@ def encode(text: Column, model_path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        viterbi = _codec(model_path)[0]
+        viterbi = _viterbi(model_path)
         for batch in batches:
-            offsets, flat = np.zeros(len(batch) + 1, np.int32), []
-            for i, x in enumerate(batch.to_pylist()):
-                got = np.array(viterbi.encode(x), np.int32)
-                flat.append(got)
-                offsets[i + 1] = offsets[i] + len(got)
-            values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            found = [viterbi.encode(x.as_py()) for x in batch]
+            offsets = np.zeros(len(batch) + 1, np.int32)
+            np.cumsum([len(x) for x in found], out=offsets[1:])
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
 
     return ids(text)
 
@@ -201,18 +210,38 @@ def decode(ids: Column, model_path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decoder = _codec(model_path)[1]
+        decoder = _decoder(model_path)
         for batch in batches:
-            values, bounds = batch.values.to_numpy(zero_copy_only=False).tolist(), batch.offsets.to_pylist()
-            yield pa.array([decoder.decode(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.string())
+            values, bounds = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
+            yield pa.array([decoder.decode(values[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)], pa.string())
 
     return text(ids)
 
 
+def _code(text: Column, model_path: str) -> Column:
+    """ids and, decoded from them, the text again, in one worker: ids cross to Python only once."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        viterbi = _viterbi(model_path)
+        decoder = Decoder(viterbi.model)
+        for batch in batches:
+            found, back = [], []
+            for x in batch:
+                found.append(viterbi.encode(x.as_py()))
+                back.append(decoder.decode(found[-1].tolist()))
+            offsets = np.zeros(len(batch) + 1, np.int32)
+            np.cumsum([len(x) for x in found], out=offsets[1:])
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
+            yield pa.StructArray.from_arrays([ids, pa.array(back, pa.string())], ["ids", "decoded"])
+
+    return both(text)
+
+
 def encode_documents(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """Add ids, n_ids and decoded to every row.
 
     Null text counts as empty: no ids and an empty decoded text. Rows are kept one for one, repeated
     rows too; an empty table gives an empty result; columns of these names are replaced, others stay."""
-    out = df.withColumn("ids", encode(F.coalesce(F.col(text_col), F.lit("")), model_path))
-    return out.withColumns({"n_ids": F.size("ids").cast("long"), "decoded": decode(F.col("ids"), model_path)})
+    out = df.withColumn("_code", _code(F.coalesce(F.col(text_col), F.lit("")), model_path))
+    return out.withColumns({"ids": F.col("_code.ids"), "n_ids": F.size("_code.ids").cast("long"), "decoded": F.col("_code.decoded")}).drop("_code")
