@@ -33,7 +33,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 class Memo(dict):
     """A bounded memo table of two generations: when the young one is full it becomes the old one.
 
-    Keys longer than max_key are computed afresh each time, so memory stays bounded by cap."""
+    Keys longer than max_key (0: keys have no length) are computed afresh each time, so memory stays
+    bounded by cap."""
 
     def __init__(self, fn: Callable, cap: int = 250_000, max_key: int = 48):
         super().__init__()
@@ -43,13 +44,16 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
-            if len(key) > self.max_key:
+            if self.max_key and len(key) > self.max_key:
                 return value
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.cap:
             self.old = self.copy()
             self.clear()
         self[key] = value
-        return value
 
 
 def slices(n: int, sizes, budget: int) -> Iterator[tuple[int, int]]:

@@ -101,13 +101,9 @@ class PieceModel:
 
     def parts(self, chunk: str) -> list[str]:
         """The chunk cut wherever two neighbours never meet inside a piece."""
-        bigrams, out, start = self.bigrams, [], 0
-        for i in range(1, len(chunk)):
-            if chunk[i - 1 : i + 1] not in bigrams:
-                out.append(chunk[start:i])
-                start = i
-        out.append(chunk[start:])
-        return out
+        bigrams = self.bigrams
+        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in bigrams]
+        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)] if cuts else [chunk]
 
     def rank(self) -> dict[str, float]:
         """Merge priority of a piece: the lowest comes first."""

@@ -6,20 +6,22 @@ import codecs
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, slices
 from .piece_model import BPE, BYTE, CONTROL, SPACE, UNKNOWN, UNUSED, PieceModel
 from .token_counts import merge
 
 codecs.register_error("quillspan_each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 #: Characters between two looks for a boundary on which all surviving paths agree.
 COMMIT_EVERY = 64
+#: Bytes of text that a worker encodes at a time.
+BATCH_BYTES = 2_000_000
 
 
 class StreamingViterbi:
@@ -29,24 +31,30 @@ class StreamingViterbi:
     byte-pair model keeps the one path that merging would leave: a piece may follow another only if
     merging the two alone leaves both as they are, and exactly one piece ending at a boundary passes
     that, so the path equals the library's ids. Ids are committed whenever the paths of all boundaries
-    in the window meet in one boundary; only what follows it is kept. Where two neighbours never meet
-    inside a piece all paths meet, so such parts are encoded apart and remembered."""
+    in the window meet in one boundary; only what follows it is kept. Words that no piece crosses are
+    encoded apart and remembered. New words are taken in sorted order: the backpointers of the prefix
+    that two neighbours share are kept. Long words are cut where two neighbours never meet inside a piece.
+
+    Symbols are piece ids; a character outside the inventory is -1 minus its code point."""
 
     def __init__(self, model: PieceModel, memo: int = 100_000):
         self.model, self._find = model, model.chunk_pattern.findall
         # ids are kept as the bytes of 32-bit integers: small, and joined without a list
-        self._memo = Memo(lambda c: b"".join(map(self._part_memo.__getitem__, model.parts(c))), memo)
-        self._part_memo = Memo(self._part, memo)
-        self._follows = Memo(self._stable, memo)
+        self._memo = Memo(lambda chunk: b"".join(map(self._part, model.parts(chunk))), memo)
+        self._follows = Memo(lambda key: self._stable((self._name(key // len(model.pieces)), model.pieces[key % len(model.pieces)])), 2 * memo, 0)
+        self._bytes = [array("i", [i]).tobytes() for i in range(len(model.pieces))]
+        self._sizes = [len(p) for p in model.pieces]
         self._unk_score = min(model.scores, default=0.0) - 10.0
         self._rank = model.rank() if model.kind == BPE else {}
         lengths: dict[str, set[int]] = {}
+        self._multi: dict[str, int] = {}  # usable pieces of two or more characters
         self._last_merge: dict[str, tuple[str, str]] = {}  # of pieces made by merges of ever higher rank
         for piece in sorted(model.ids, key=len):
             if len(piece) > 1:
                 if model.kind == BPE and not self._made(piece):
                     continue
                 lengths.setdefault(piece[-3:], set()).add(len(piece))
+                self._multi[piece] = model.ids[piece]
         # by the last three characters (two for pieces of two): lengths of the pieces that end so, the longest first
         self._lengths = {tail: sorted(found | lengths.get(tail[-2:], set()), reverse=True) for tail, found in lengths.items()}
 
@@ -85,28 +93,66 @@ class StreamingViterbi:
             else:
                 limit, right = s, last[right][0]
 
-    def _ids(self, piece: str) -> tuple[int, ...]:
+    def _name(self, symbol: int) -> str:
+        return self.model.pieces[symbol] if symbol >= 0 else chr(-1 - symbol)
+
+    def _symbol(self, piece: str) -> int:
         i = self.model.ids.get(piece)
-        if i is not None:
-            return (i,)
+        return -1 - ord(piece) if i is None else i
+
+    def _coded(self, symbol: int) -> bytes:
+        """The ids of a symbol: itself, or its UTF-8 bytes or the unknown id where it has none."""
+        if symbol >= 0:
+            return self._bytes[symbol]
         if self.model.byte_fallback and self.model.byte_ids:
-            return tuple(self.model.byte_ids[b] for b in piece.encode())
-        return (self.model.unk_id,)
-
-    def _within(self, text: str) -> list[str]:
-        """pieces() for a byte-pair part that is no longer than one window of commits."""
-        ids, lengths, follows = self.model.ids, self._lengths, self._follows
-        last = ["", text[0]]
-        for end in range(2, len(text) + 1):
-            for n in lengths.get(text[end - 3 : end] if end > 2 else text[:2]) or lengths.get(text[end - 2 : end], ()):
-                if n <= end and (piece := text[end - n : end]) in ids:
-                    before = last[end - n]
-                    if not before or follows[before, piece]:
-                        last.append(piece)
-                        break
-            else:
-                last.append(text[end - 1])
-        return self._path(last, len(text))
+            return b"".join(self._bytes[self.model.byte_ids[b]] for b in self._name(symbol).encode())
+        return self._bytes[self.model.unk_id]
+
+    def _known(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of each of these words."""
+        memo, old, short = self._memo, self._memo.old, self._memo.max_key if self.model.kind == BPE else 0
+        known = {c: ids for c in chunks if (ids := memo.get(c) or old.get(c)) is not None}
+        new = sorted(c for c in chunks if len(c) <= short and c not in known)
+        fresh = dict(zip(new, self._in_order(new), strict=True))
+        known |= fresh
+        known |= {c: memo.fn(c) for c in chunks if c not in known}
+        for chunk, ids in fresh.items():
+            memo.put(chunk, ids)
+        return known
+
+    def _in_order(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of byte-pair parts, each no longer than one window of commits; sorted ones share most work."""
+        coded, multi, symbols, lengths, follows, sizes = self._bytes, self._multi, self.model.ids, self._lengths, self._follows, self._sizes
+        many, none = len(self.model.pieces), ()
+        before_text, last = "", [None]  # of each boundary: the symbol that ends there
+        for text in parts:
+            same = 0
+            for a, b in zip(before_text, text, strict=False):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :]
+            for end in range(same + 1, len(text) + 1):
+                for n in (end > 2 and lengths.get(text[end - 3 : end])) or (end > 1 and lengths.get(text[end - 2 : end])) or none:
+                    if n <= end and (piece := multi.get(text[end - n : end])) is not None:
+                        before = last[end - n]
+                        if before is None or follows[before * many + piece]:
+                            last.append(piece)
+                            break
+                else:
+                    char = text[end - 1]
+                    last.append(symbols.get(char, -1 - ord(char)))
+            out, at = [], len(text)
+            while at:
+                if (symbol := last[at]) >= 0:
+                    out.append(coded[symbol])
+                    at -= sizes[symbol]
+                else:
+                    out.append(self._coded(symbol))
+                    at -= 1
+            out.reverse()
+            before_text = text
+            yield b"".join(out)
 
     def pieces(self, text: Iterator[str] | str) -> Iterator[str]:
         """Pieces of a stream of characters, given out as soon as they are certain."""
@@ -120,10 +166,10 @@ class StreamingViterbi:
             if byte_pair:
                 best = char
                 for n in lengths.get(window[-3:]) or lengths.get(window[-2:], ()):
-                    if n <= end and (piece := window[end - n :]) in ids:
+                    if n <= end and (i := self._multi.get(window[end - n :])) is not None:
                         before = last[end - n] or carry
-                        if not before or follows[before, piece]:
-                            best = piece
+                        if not before or follows[self._symbol(before) * len(types) + i]:
+                            best = window[end - n :]
                             break
                 last.append(best)
             else:
@@ -160,12 +206,19 @@ class StreamingViterbi:
         return alive.pop()
 
     def _part(self, part: str) -> bytes:
-        pieces = self._within(part) if len(part) <= COMMIT_EVERY and self.model.kind == BPE else self.pieces(part)
-        return array("i", chain.from_iterable(map(self._ids, pieces))).tobytes()
+        if len(part) <= COMMIT_EVERY and self.model.kind == BPE:
+            return next(self._in_order([part]))
+        return b"".join(self._coded(self._symbol(piece)) for piece in self.pieces(part))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as 32-bit integers."""
-        return np.frombuffer(b"".join(map(self._memo.__getitem__, self._find(self.model.normalised(text)))) if text else b"", np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; what is new in them is encoded together."""
+        chunks = [self._find(self.model.normalised(text)) if text else () for text in texts]
+        known = self._known(set().union(*chunks))
+        return [np.frombuffer(b"".join(map(known.__getitem__, found)), np.int32) for found in chunks]
 
 
 class Decoder:
@@ -190,17 +243,27 @@ def _decoder(path: str) -> Decoder:
     return Decoder(PieceModel.load(path))
 
 
+def _small(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same rows in batches of about BATCH_BYTES, so that the memory of a worker does not grow with the batch."""
+    for batch in batches:
+        for a, b in slices(len(batch), pc.fill_null(pc.binary_length(batch), 0).to_pylist(), BATCH_BYTES):
+            yield batch.slice(a, b - a)
+
+
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) for x in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
+
+
 def encode(text: Column, model_path: str) -> Column:
     """array<int> of piece ids without begin or end; null and empty text give an empty array."""
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         viterbi = _viterbi(model_path)
-        for batch in batches:
-            found = [viterbi.encode(x.as_py()) for x in batch]
-            offsets = np.zeros(len(batch) + 1, np.int32)
-            np.cumsum([len(x) for x in found], out=offsets[1:])
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
+        for batch in _small(batches):
+            yield _lists(viterbi.encode_all(batch.to_pylist()))
 
     return ids(text)
 
@@ -225,15 +288,10 @@ def _code(text: Column, model_path: str) -> Column:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         viterbi = _viterbi(model_path)
         decoder = Decoder(viterbi.model)
-        for batch in batches:
-            found, back = [], []
-            for x in batch:
-                found.append(viterbi.encode(x.as_py()))
-                back.append(decoder.decode(found[-1].tolist()))
-            offsets = np.zeros(len(batch) + 1, np.int32)
-            np.cumsum([len(x) for x in found], out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
-            yield pa.StructArray.from_arrays([ids, pa.array(back, pa.string())], ["ids", "decoded"])
+        for batch in _small(batches):
+            found = viterbi.encode_all(batch.to_pylist())
+            back = pa.array([decoder.decode(x.tolist()) for x in found], pa.string())
+            yield pa.StructArray.from_arrays([_lists(found), back], ["ids", "decoded"])
 
     return both(text)
 
