@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import matching, spans
+from ..operators import fuzzy, matching, overlay, spans
 from ..operators.relational import latest_by
 from ..operators.sections import classify_sections
 from ..registry import query
@@ -328,3 +328,67 @@ def fn44_section_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = Views(spark, sf_dir).table("pages")
     headings = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<h[1-6][^>]*>([^<]+)</h[1-6]>"), F.lit(1))).alias("heading"))
     return classify_sections(headings, "heading")
+
+
+@query("""WITH terms AS (SELECT lower(p_name) || ' ' || p_partkey AS key, 'P' || p_partkey AS concept_id, p_brand AS code, p_name AS canonical_term, p_partkey AS ord FROM part),
+asked AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'red widget ' || c_custkey ELSE lower(c_mktsegment) || ' ' || c_custkey // 4 END AS key, 'p' || c_custkey * 2 AS by_id, 'brand#' || c_nationkey AS by_code, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS own, c_custkey AS ord FROM customer),
+base AS (SELECT lower(i) AS identity, arg_min((concept_id, code, canonical_term), ord) AS b FROM (SELECT unnest([concept_id, code]) AS i, * FROM terms) GROUP BY ALL),
+found AS (SELECT a.key, a.own, a.ord, coalesce(x.b, y.b) AS b FROM asked a LEFT JOIN base x ON x.identity = a.by_id LEFT JOIN base y ON y.identity = a.by_code WHERE a.key NOT IN (SELECT key FROM terms)),
+added AS (SELECT key, arg_min((b, own), ord) AS r FROM found WHERE b IS NOT NULL GROUP BY key)
+SELECT key, concept_id, code, canonical_term, 'dictionary' AS source FROM terms
+UNION ALL SELECT key, r[1][1], r[1][2], coalesce(r[2], r[1][3]), 'approved_alias' FROM added""")
+def dx08_alias_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved aliases resolved by id, else by code; keys of the dictionary stay as they are."""
+    v = Views(spark, sf_dir)
+    terms = v.table("part").select(F.concat_ws(" ", F.lower("p_name"), F.col("p_partkey").cast("string")).alias("key"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("concept_id"), F.col("p_brand").alias("code"), F.col("p_name").alias("canonical_term"), F.col("p_partkey").alias("ord"))
+    number = F.col("c_custkey")
+    surface = F.when(number % 3 == 0, F.concat(F.lit("Red Widget "), number.cast("string"))).otherwise(F.concat_ws(" ", "c_mktsegment", F.floor(number / 4).cast("string")))
+    aliases = v.table("customer").select(surface.alias("surface_form"), F.concat(F.lit("p"), (number * 2).cast("string")).alias("concept_id"), F.concat(F.lit("BRAND#"), F.col("c_nationkey").cast("string")).alias("concept_code"), F.when(number % 2 == 0, F.col("c_name")).alias("canonical_term"), number.alias("ord"))
+    return overlay.overlay_aliases(terms, aliases, F.lower("surface_form"))
+
+
+@query("""WITH found AS (SELECT doc_id, text, strpos(text, ' the ') AS a, strpos(text, ' and ') AS b FROM documents),
+chosen AS (SELECT *, CASE WHEN a > 0 THEN a ELSE b END AS spot FROM found WHERE a > 0 OR b > 0)
+SELECT doc_id || ':aug:0' AS id, sha256(left(text, spot) || CASE WHEN a > 0 THEN 'those' ELSE 'or' END || substring(text, spot + 4)) AS text_sha256,
+  CASE WHEN a > 0 THEN 'the' ELSE 'and' END AS replaced, (CASE WHEN a > 0 THEN a END)::INT AS the_start, (CASE WHEN a > 0 THEN a + 5 END)::INT AS the_end,
+  (CASE WHEN b > 0 THEN CASE WHEN a > 0 AND b >= a + 3 THEN b + 2 ELSE b END END)::INT AS and_start, (CASE WHEN b > 0 THEN CASE WHEN a = 0 THEN b + 2 WHEN b >= a + 3 THEN b + 5 ELSE b + 3 END END)::INT AS and_end
+FROM chosen""")
+def nr32_synonym_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One copy of each text with its first known word replaced; later spans shift."""
+
+    def span(word: str, label: str):
+        start = F.instr("text", f" {word} ")
+        return F.struct(start.alias("start"), (start + len(word)).alias("end"), F.lit(label).alias("label"), F.lit(word).alias("text"))
+
+    def place(label: str):
+        return F.filter("entities", lambda x: x["label"] == label)
+
+    docs = Views(spark, sf_dir).table("documents").select(F.col("doc_id").alias("id"), "text", F.filter(F.array(span("the", "DET"), span("and", "CONJ")), lambda x: x["start"] > 0).alias("entities"))
+    synonyms = spark.createDataFrame([("the", "those"), ("and", " or ")], "text string, replacement string")
+    copies = overlay.synonym_copies(docs, synonyms, ("DET", "CONJ"))
+    ends = {f"{word}_{side}": F.get(place(label), F.lit(0))[side] for word, label in (("the", "DET"), ("and", "CONJ")) for side in ("start", "end")}
+    return copies.select("id", F.sha2("text", 256).alias("text_sha256"), "replaced", *[c.alias(name) for name, c in ends.items()])
+
+
+def _word_pairs(v: Views) -> DataFrame:
+    words = v.table("documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)).alias("t"))
+    pairs = F.zip_with(F.col("t"), F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return words.select("doc_id", F.explode(pairs).alias("key")).where("key IS NOT NULL")
+
+
+def _fuzzy(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Word pairs, and those of them near a pair that 20 to 60 documents hold, which serve as terms."""
+    windows = _word_pairs(v)
+    terms = windows.distinct().groupBy("key").count().where("count BETWEEN 20 AND 60").select("key", F.xxhash64("key").alias("ord"))
+    return windows, fuzzy.fuzzy_pairs(windows, terms)
+
+
+@query()
+def nr09_fuzzy_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio is no SQL function: tested by brute force."""
+    return _fuzzy(Views(spark, sf_dir))[1]
+
+
+@query()
+def dx11_fuzzy_alias_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.alias_evidence(*_fuzzy(Views(spark, sf_dir)))
