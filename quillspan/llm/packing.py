@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, numbered
 
-#: Cells of the global length histogram: its size on the driver never depends on the rows.
-CELLS = 8192
 BUCKETS, TOKEN_BUDGET = 16, 65_536
 
 
@@ -59,17 +57,13 @@ def best_boundaries(lengths: list[int], counts: list[int], k: int) -> list[int]:
 
 
 def length_buckets(lengths: DataFrame, length: str, buckets: int = BUCKETS) -> list[int]:
-    """Bucket bounds for a column of lengths from its whole histogram.
+    """Bucket bounds for a column of lengths from its whole histogram, one cell per distinct length.
 
-    The histogram has CELLS cells at most: lengths are grouped by ceil(length / step) with
-    step = ceil(longest / CELLS), so bounds are exact up to CELLS and multiples of step beyond."""
-    longest = lengths.agg(F.max(length)).first()[0]
-    if longest is None:
-        return []
-    step = max(1, -(-longest // CELLS))
-    cells = lengths.groupBy(F.ceil(F.col(length) / step).cast("long").alias("cell")).count().collect()
+    d distinct lengths need d * d / 2 words at least, so the driver holds about the square root of the
+    input. Null lengths count for nothing."""
+    cells = lengths.where(F.col(length).isNotNull()).groupBy(F.col(length).alias("cell")).count().collect()
     cells.sort()
-    return [c * step for c in best_boundaries([c[0] for c in cells], [c[1] for c in cells], buckets)]
+    return best_boundaries([c[0] for c in cells], [c[1] for c in cells], buckets)
 
 
 def pack(df: DataFrame, key: str = "doc_id", length: Column | None = None, text: str = "text", buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
