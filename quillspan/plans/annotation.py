@@ -377,9 +377,9 @@ def _word_pairs(v: Views) -> DataFrame:
 
 
 def _fuzzy(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Word pairs, and those of them near a pair that 20 to 60 documents hold, which serve as terms."""
+    """Word pairs, and those of them near a pair that 20 documents or more hold, which serve as terms."""
     windows = _word_pairs(v)
-    terms = windows.distinct().groupBy("key").count().where("count BETWEEN 20 AND 60").select("key", F.xxhash64("key").alias("ord"))
+    terms = windows.distinct().groupBy("key").count().where("count >= 20").select("key", F.xxhash64("key").alias("ord"))
     return windows, fuzzy.fuzzy_pairs(windows, terms)
 
 
