@@ -67,8 +67,8 @@ def held_out():
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    samples = learn(docs, ~held_out())
-    return identify(docs.select("doc_id", "text"), samples).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    parser = learn(docs, ~held_out())
+    return identify(docs.select("doc_id", "text"), parser).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
