@@ -17,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is named (tests) a local one is made."""
+    """The folder named by spark.checkpoint.dir. Where none is named a local one is made, but only if
+    the session runs in this one process; on a cluster that is an error, as executors share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder or f"file://{tempfile.mkdtemp(prefix='quillspan-')}"
 
 
@@ -56,6 +59,16 @@ class Memo(dict):
         self[key] = value
 
 
+def beside(df: DataFrame, new: Column) -> DataFrame:
+    """Two structs: `row` with the columns of df, and `new`. No column name of a user can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), new.alias("new"))
+
+
+def kept(df: DataFrame, *replaced: str) -> list[Column]:
+    """The columns of df out of beside(), without those that are replaced."""
+    return [F.col("row")[c].alias(c) for c in df.columns if c.lower() not in {r.lower() for r in replaced}]
+
+
 def slices(n: int, sizes, budget: int) -> Iterator[tuple[int, int]]:
     """Ranges over n rows whose sizes add up to about budget, one row at least."""
     start = total = 0

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside, kept
+
 #: Labelled rows looked at per language, and the bytes of whole rows that its sample may take. The rows
 #: left over (CHECK_BYTES of them at most) calibrate the score.
 SAMPLE_ROWS, SAMPLE_BYTES, CHECK_BYTES = 128, 96_000, 96_000
@@ -340,5 +342,4 @@ def identify(df: DataFrame, parser: CrossParser, text: str = "text") -> DataFram
             found += parser.predict(texts)
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
-    names = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score")]
-    return df.select(F.struct(*names).alias("row"), predict(F.col(text)).alias("p")).select("row.*", "p.lang_pred", "p.score")
+    return beside(df, predict(F.col(text))).select(*kept(df, "lang_pred", "score"), "new.lang_pred", "new.score")

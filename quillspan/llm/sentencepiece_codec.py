@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import codecs
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,14 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import Memo, beside, kept, slices
 from .piece_model import BPE, BYTE, CONTROL, SPACE, UNKNOWN, UNUSED, PieceModel
 from .token_counts import merge
 
 codecs.register_error("quillspan_each_byte", lambda e: ("�" * (e.end - e.start), e.end))
-#: Characters between two looks for a boundary on which all surviving paths agree.
-COMMIT_EVERY = 64
-#: Bytes of text that a worker encodes at a time.
+#: Bytes of text that a worker encodes or decodes at a time.
 BATCH_BYTES = 2_000_000
 
 
@@ -30,33 +28,80 @@ class StreamingViterbi:
     Each boundary keeps one backpointer. A unigram model keeps the path of the highest score. A
     byte-pair model keeps the one path that merging would leave: a piece may follow another only if
     merging the two alone leaves both as they are, and exactly one piece ending at a boundary passes
-    that, so the path equals the library's ids. Ids are committed whenever the paths of all boundaries
-    in the window meet in one boundary; only what follows it is kept. Words that no piece crosses are
-    encoded apart and remembered. New words are taken in sorted order: the backpointers of the prefix
-    that two neighbours share are kept. Long words are cut where two neighbours never meet inside a piece.
+    that, so the path equals the library's ids.
+
+    An automaton of the pieces reads the characters. Its state tells which pieces end at a boundary and
+    which boundaries survive: the newest one, and those from which the characters read so far begin a
+    longer piece. Survivors lie in a window of the longest piece. Ids are committed at once where one
+    boundary survives, and in a full window where the paths of all survivors meet; only what follows the
+    committed boundary is kept. A segment between two places that no piece crosses (found by a pattern,
+    one boundary survives there) depends on its own characters alone, so its ids are remembered.
 
     Symbols are piece ids; a character outside the inventory is -1 minus its code point."""
 
     def __init__(self, model: PieceModel, memo: int = 100_000):
         self.model, self._find = model, model.chunk_pattern.findall
         # ids are kept as the bytes of 32-bit integers: small, and joined without a list
-        self._memo = Memo(lambda chunk: b"".join(map(self._part, model.parts(chunk))), memo)
+        self._memo = Memo(None, memo)
         self._follows = Memo(lambda key: self._stable((self._name(key // len(model.pieces)), model.pieces[key % len(model.pieces)])), 2 * memo, 0)
         self._bytes = [array("i", [i]).tobytes() for i in range(len(model.pieces))]
         self._sizes = [len(p) for p in model.pieces]
         self._unk_score = min(model.scores, default=0.0) - 10.0
         self._rank = model.rank() if model.kind == BPE else {}
-        lengths: dict[str, set[int]] = {}
-        self._multi: dict[str, int] = {}  # usable pieces of two or more characters
         self._last_merge: dict[str, tuple[str, str]] = {}  # of pieces made by merges of ever higher rank
+        # the automaton: state 1 has read nothing; what a state tells is worked out when it is first met
+        self._next: list[dict[str, int]] = [{}, {}]
+        self._fail, self._depth, self._piece = [0, 1], [0, 0], [None, None]
         for piece in sorted(model.ids, key=len):
-            if len(piece) > 1:
-                if model.kind == BPE and not self._made(piece):
-                    continue
-                lengths.setdefault(piece[-3:], set()).add(len(piece))
-                self._multi[piece] = model.ids[piece]
-        # by the last three characters (two for pieces of two): lengths of the pieces that end so, the longest first
-        self._lengths = {tail: sorted(found | lengths.get(tail[-2:], set()), reverse=True) for tail, found in lengths.items()}
+            if len(piece) > 1 and (self._made(piece) if model.kind == BPE else model.types[model.ids[piece]] != UNUSED):
+                self._add(piece, model.ids[piece])
+        self._link()
+
+    def _add(self, piece: str, i: int) -> None:
+        state = 1
+        for char in piece:
+            to = self._next[state].get(char)
+            if to is None:
+                to = self._next[state][char] = len(self._next)
+                self._next.append({})
+                self._fail.append(1)
+                self._depth.append(self._depth[state] + 1)
+                self._piece.append(None)
+            state = to
+        self._piece[state] = i
+
+    def _link(self) -> None:
+        """Per state, from the root on: where to go on after a mismatch, pieces that end here (the
+        longest first) and lengths after which a longer piece may go on."""
+        self._ends, self._alive = [()] * len(self._next), [()] * len(self._next)
+        level = [1]
+        while level:
+            below = []
+            for state in level:
+                fail, depth = self._fail[state], self._depth[state]
+                if depth:
+                    here = ((depth, self._piece[state]),) if self._piece[state] is not None else ()
+                    self._ends[state] = here + self._ends[fail]
+                    self._alive[state] = ((depth,) if self._next[state] else ()) + self._alive[fail]
+                for char, to in self._next[state].items():
+                    if depth:
+                        at = fail
+                        while at != 1 and char not in self._next[at]:
+                            at = self._fail[at]
+                        self._fail[to] = self._next[at].get(char, 1)
+                    below.append(to)
+            level = below
+        self._go = [dict(follow) for follow in self._next]
+
+    def _read(self, state: int, char: str) -> int:
+        """The state after a character, remembered for characters of the inventory."""
+        at = state
+        while at != 1 and char not in self._next[at]:
+            at = self._fail[at]
+        to = self._next[at].get(char, 1)
+        if char in self.model.chars:
+            self._go[state][char] = to
+        return to
 
     def _made(self, piece: str) -> bool:
         """Whether merging makes this piece out of its characters; notes its last merge."""
@@ -96,10 +141,6 @@ class StreamingViterbi:
     def _name(self, symbol: int) -> str:
         return self.model.pieces[symbol] if symbol >= 0 else chr(-1 - symbol)
 
-    def _symbol(self, piece: str) -> int:
-        i = self.model.ids.get(piece)
-        return -1 - ord(piece) if i is None else i
-
     def _coded(self, symbol: int) -> bytes:
         """The ids of a symbol: itself, or its UTF-8 bytes or the unknown id where it has none."""
         if symbol >= 0:
@@ -108,128 +149,154 @@ class StreamingViterbi:
             return b"".join(self._bytes[self.model.byte_ids[b]] for b in self._name(symbol).encode())
         return self._bytes[self.model.unk_id]
 
-    def _known(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of each of these words."""
-        memo, old, short = self._memo, self._memo.old, self._memo.max_key if self.model.kind == BPE else 0
-        known = {c: ids for c in chunks if (ids := memo.get(c) or old.get(c)) is not None}
-        new = sorted(c for c in chunks if len(c) <= short and c not in known)
-        fresh = dict(zip(new, self._in_order(new), strict=True))
-        known |= fresh
-        known |= {c: memo.fn(c) for c in chunks if c not in known}
-        for chunk, ids in fresh.items():
-            memo.put(chunk, ids)
-        return known
-
-    def _in_order(self, parts: list[str]) -> Iterator[bytes]:
-        """Ids of byte-pair parts, each no longer than one window of commits; sorted ones share most work."""
-        coded, multi, symbols, lengths, follows, sizes = self._bytes, self._multi, self.model.ids, self._lengths, self._follows, self._sizes
-        many, none = len(self.model.pieces), ()
-        before_text, last = "", [None]  # of each boundary: the symbol that ends there
-        for text in parts:
+    def commits(self, text: Iterable[str]) -> Iterator[list[int]]:
+        """Symbols of a stream of characters, in lists, each given out as soon as it is certain."""
+        window = Window(self)
+        for char in text:
+            window.read(char)
+            if window.done:
+                yield window.done
+                window.done = []
+        yield window.path(len(window.last) - 1)
+
+    def pieces(self, text: Iterable[str]) -> Iterator[str]:
+        """Pieces of a stream of characters."""
+        for symbols in self.commits(text):
+            yield from map(self._name, symbols)
+
+    def _in_order(self, segments: list[str]) -> Iterator[bytes]:
+        """Ids of sorted segments; what the window still holds of a common beginning is not read again."""
+        window, before = Window(self), ""
+        for text in segments:
             same = 0
-            for a, b in zip(before_text, text, strict=False):
+            for a, b in zip(before, text, strict=False):
                 if a != b:
                     break
                 same += 1
-            del last[same + 1 :]
-            for end in range(same + 1, len(text) + 1):
-                for n in (end > 2 and lengths.get(text[end - 3 : end])) or (end > 1 and lengths.get(text[end - 2 : end])) or none:
-                    if n <= end and (piece := multi.get(text[end - n : end])) is not None:
-                        before = last[end - n]
-                        if before is None or follows[before * many + piece]:
-                            last.append(piece)
-                            break
-                else:
-                    char = text[end - 1]
-                    last.append(symbols.get(char, -1 - ord(char)))
-            out, at = [], len(text)
-            while at:
-                if (symbol := last[at]) >= 0:
-                    out.append(coded[symbol])
-                    at -= sizes[symbol]
-                else:
-                    out.append(self._coded(symbol))
-                    at -= 1
-            out.reverse()
-            before_text = text
-            yield b"".join(out)
-
-    def pieces(self, text: Iterator[str] | str) -> Iterator[str]:
-        """Pieces of a stream of characters, given out as soon as they are certain."""
-        ids, types, byte_pair, width = self.model.ids, self.model.types, self.model.kind == BPE, self.model.max_len
-        lengths, follows, scores = self._lengths, self._follows, self.model.scores
-        window, carry = "", ""  # the characters from the last committed boundary on; the piece before it
-        last, score = [""], [0.0]  # of each boundary: the piece that ends there
-        for char in text:
-            window += char
-            end = len(window)
+            window.read(text[window.back(same) :])
+            yield b"".join(map(self._coded, window.done + window.path(len(window.last) - 1)))
+            before = text
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids as 32-bit integers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; segments that are new in them are encoded together."""
+        segments = [self._find(self.model.normalised(text)) if text else () for text in texts]
+        memo, old = self._memo, self._memo.old
+        every = set().union(*segments)
+        known = {s: ids for s in every if (ids := memo.get(s) or old.get(s)) is not None}
+        new = sorted(every - known.keys())
+        for segment, ids in zip(new, self._in_order(new), strict=True):
+            known[segment] = ids
+            if len(segment) <= memo.max_key:
+                memo.put(segment, ids)
+        return [np.frombuffer(b"".join(map(known.__getitem__, found)), np.int32) for found in segments]
+
+
+class Window:
+    """What is kept of a stream: committed symbols, and from the last committed boundary on each
+    boundary's backpointer (the symbol that ends there), automaton state and, for unigrams, score."""
+
+    __slots__ = ("viterbi", "base", "since", "done", "last", "states", "score")
+
+    def __init__(self, viterbi: StreamingViterbi):
+        self.viterbi = viterbi
+        self.restart()
+
+    def restart(self) -> None:
+        self.base = self.since = 0  # the committed boundary, and how far was read when it was
+        self.done, self.states = [], [1]
+        self.last: list[int | None] = [None]
+        self.score = [0.0]
+
+    def back(self, boundary: int) -> int:
+        """Forget what follows a boundary, or all if something after it led to a commit; where to read on."""
+        if boundary < self.since:
+            self.restart()
+            return 0
+        for kept in (self.last, self.states, self.score):
+            del kept[boundary - self.base + 1 :]
+        return boundary
+
+    def read(self, chars: str) -> None:
+        v = self.viterbi
+        ids, byte_pair, width, many = v.model.ids, v.model.kind == BPE, v.model.max_len, len(v.model.pieces)
+        go, ends, alive, follows, scores = v._go, v._ends, v._alive, v._follows, v.model.scores
+        last, states, score = self.last, self.states, self.score
+        state, end = states[-1], len(last) - 1
+        for char in chars:
+            end += 1
+            state = go[state].get(char) or v._read(state, char)
+            states.append(state)
             if byte_pair:
-                best = char
-                for n in lengths.get(window[-3:]) or lengths.get(window[-2:], ()):
-                    if n <= end and (i := self._multi.get(window[end - n :])) is not None:
-                        before = last[end - n] or carry
-                        if not before or follows[self._symbol(before) * len(types) + i]:
-                            best = window[end - n :]
-                            break
-                last.append(best)
+                for n, piece in ends[state]:
+                    before = last[end - n]
+                    if before is None or follows[before * many + piece]:
+                        last.append(piece)
+                        break
+                else:
+                    last.append(ids.get(char, -1 - ord(char)))
             else:
                 i = ids.get(char)
-                best, best_score = char, score[-1] + (self._unk_score if i is None else scores[i])
-                for n in lengths.get(window[-3:]) or lengths.get(window[-2:], ()):
-                    if n <= end and (i := ids.get(window[end - n :])) is not None and types[i] != UNUSED and (s := score[end - n] + scores[i]) > best_score:
-                        best, best_score = window[end - n :], s
+                best, best_score = (-1 - ord(char), score[-1] + v._unk_score) if i is None else (i, score[-1] + scores[i])
+                for n, piece in ends[state]:
+                    if (s := score[end - n] + scores[piece]) > best_score:
+                        best, best_score = piece, s
                 last.append(best)
                 score.append(best_score)
-            if end >= COMMIT_EVERY + width and end % COMMIT_EVERY == 0 and (meet := self._meet(last, end, width)):
-                out = self._path(last, meet)
-                yield from out
-                carry, window, last = out[-1], window[meet:], [""] + last[meet + 1 :]
-                score = [x - score[meet] for x in score[meet:]]
-        yield from self._path(last, len(window))
-
-    @staticmethod
-    def _path(last: list[str], at: int) -> list[str]:
-        out = []
-        while at > 0:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
-
-    @staticmethod
-    def _meet(last: list[str], end: int, width: int) -> int:
-        """The last boundary that all paths from the window's boundaries go through."""
-        alive = set(range(max(0, end - width + 1), end + 1))
+            if not alive[state] or end > width:
+                meet = self._meet(end, alive[state]) if alive[state] else end
+                if meet:
+                    self.done += self.path(meet)
+                    self.since = self.base + end
+                    self.base += meet
+                    end -= meet
+                    self.last, self.states = last, states = last[meet:], states[meet:]
+                    if not byte_pair:
+                        self.score = score = [x - score[meet] for x in score[meet:]]
+
+    def path(self, at: int) -> list[int]:
+        """Symbols from the committed boundary to a boundary of the window."""
+        out, last, sizes = [], self.last, self.viterbi._sizes
+        while at:
+            symbol = last[at]
+            out.append(symbol)
+            at -= sizes[symbol] if symbol >= 0 else 1
+        out.reverse()
+        return out
+
+    def _meet(self, end: int, lengths: tuple[int, ...]) -> int:
+        """The last boundary that the paths of all surviving boundaries go through."""
+        last, sizes, alive = self.last, self.viterbi._sizes, {end, *(end - n for n in lengths)}
         while len(alive) > 1:
             top = max(alive)
             alive.discard(top)
-            alive.add(top - len(last[top]))
+            symbol = last[top]
+            alive.add(top - (sizes[symbol] if symbol >= 0 else 1))
         return alive.pop()
 
-    def _part(self, part: str) -> bytes:
-        if len(part) <= COMMIT_EVERY and self.model.kind == BPE:
-            return next(self._in_order([part]))
-        return b"".join(self._coded(self._symbol(piece)) for piece in self.pieces(part))
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids as 32-bit integers."""
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; what is new in them is encoded together."""
-        chunks = [self._find(self.model.normalised(text)) if text else () for text in texts]
-        known = self._known(set().union(*chunks))
-        return [np.frombuffer(b"".join(map(known.__getitem__, found)), np.int32) for found in chunks]
-
 
 class Decoder:
-    """Ids back to text: space marks become spaces and byte pieces bytes, each invalid byte U+FFFD."""
+    """Ids back to text: space marks become spaces and byte pieces bytes, each invalid byte U+FFFD.
+
+    An id outside the inventory gives U+FFFD, a null id nothing."""
 
     def __init__(self, model: PieceModel):
-        self.dummy_prefix = model.dummy_prefix
+        self.dummy_prefix, self.n = model.dummy_prefix, len(model.pieces)
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(model.pieces, model.types, strict=True)]
 
+    def _named(self, i: int | None) -> bytes:
+        return b"" if i is None else self.bytes[i] if 0 <= i < self.n else "�".encode()
+
     def decode(self, ids) -> str:
-        out = b"".join(map(self.bytes.__getitem__, ids))
+        out = b"".join(map(self._named, ids))
+        return (out[1:] if self.dummy_prefix and out.startswith(b" ") else out).decode("utf-8", "quillspan_each_byte")
+
+    def decode_known(self, ids: np.ndarray) -> str:
+        """decode() for ids of the inventory."""
+        out = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         return (out[1:] if self.dummy_prefix and out.startswith(b" ") else out).decode("utf-8", "quillspan_each_byte")
 
 
@@ -269,14 +336,13 @@ def encode(text: Column, model_path: str) -> Column:
 
 
 def decode(ids: Column, model_path: str) -> Column:
-    """Text of an array<int>; null gives an empty text. An id outside the inventory fails the task."""
+    """Text of an array<int>; null gives an empty text, an id outside the inventory U+FFFD, a null id nothing."""
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = _decoder(model_path)
         for batch in batches:
-            values, bounds = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
-            yield pa.array([decoder.decode(values[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)], pa.string())
+            yield pa.array([decoder.decode(row.as_py() or ()) for row in batch], pa.string())
 
     return text(ids)
 
@@ -286,11 +352,10 @@ def _code(text: Column, model_path: str) -> Column:
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        viterbi = _viterbi(model_path)
-        decoder = Decoder(viterbi.model)
+        viterbi, decoder = _viterbi(model_path), _decoder(model_path)
         for batch in _small(batches):
             found = viterbi.encode_all(batch.to_pylist())
-            back = pa.array([decoder.decode(x.tolist()) for x in found], pa.string())
+            back = pa.array([decoder.decode_known(x) for x in found], pa.string())
             yield pa.StructArray.from_arrays([_lists(found), back], ["ids", "decoded"])
 
     return both(text)
@@ -301,5 +366,6 @@ def encode_documents(df: DataFrame, model_path: str, text_col: str = "text") ->
 
     Null text counts as empty: no ids and an empty decoded text. Rows are kept one for one, repeated
     rows too; an empty table gives an empty result; columns of these names are replaced, others stay."""
-    out = df.withColumn("_code", _code(F.coalesce(F.col(text_col), F.lit("")), model_path))
-    return out.withColumns({"ids": F.col("_code.ids"), "n_ids": F.size("_code.ids").cast("long"), "decoded": F.col("_code.decoded")}).drop("_code")
+    out = beside(df, _code(F.coalesce(F.col(text_col), F.lit("")), model_path))
+    n_ids = F.size("new.ids").cast("long").alias("n_ids")
+    return out.select(*kept(df, "ids", "n_ids", "decoded"), "new.ids", n_ids, "new.decoded")

@@ -3,11 +3,13 @@
 import random
 from itertools import product
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from quillspan.llm.piece_model import BYTE, NORMAL, UNIGRAM, UNKNOWN, PieceModel
-from quillspan.llm.sentencepiece_codec import Decoder, StreamingViterbi, encode_documents
+from pyspark.sql import functions as F
+from quillspan.llm.piece_model import NORMAL, UNIGRAM, UNKNOWN, PieceModel
+from quillspan.llm.sentencepiece_codec import Decoder, StreamingViterbi, Window, decode, encode_documents
 from quillspan.llm.token_counts import TokenCounter, count_tokens, merge
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,6 +43,38 @@ def test_streamed_pieces_equal_the_whole(library):
     assert [model.ids[p] for p in pieces if p in model.ids] == [i for i in library.encode(text[1:].replace("▁", " ")) if i > 258]
 
 
+def test_commits_on_ordinary_text(library):
+    """Paths meet inside words and in full windows; what is kept never grows with the text."""
+    model = PieceModel.load(PATH)
+    viterbi = StreamingViterbi(model)
+    text = model.normalised("It was a bright cold day in April, and the clocks were striking thirteen. " * 40)
+    lists = list(viterbi.commits(iter(text)))
+    assert [i for x in lists for i in x] == library.encode(text[1:].replace("▁", " "))
+    assert len(lists) > len(text) / 20
+    for hard in (text, "a" * 3000, "thenandigr" * 500, "漢字" * 900, "ab" * 2000):
+        window, most = Window(viterbi), 0
+        for char in model.normalised(hard):
+            window.read(char)
+            window.done = []
+            most = max(most, len(window.last))
+        assert most <= 5 * model.max_len
+
+
+def test_sorted_segments_share_their_beginnings(library):
+    viterbi = StreamingViterbi(PieceModel.load(PATH))
+    rng = random.Random(12)
+    words = sorted({"▁" + "".join(rng.choice("thenai☃éxq") for _ in range(rng.randint(1, 40))) for _ in range(3000)})
+    got = [np.frombuffer(x, np.int32).tolist() for x in viterbi._in_order(words)]
+    assert got == [library.encode(w[1:]) for w in words]
+
+
+def test_decoder_defines_every_id(spark):
+    decoder = Decoder(PieceModel.load(PATH))
+    assert decoder.decode([-1, 10**6, None]) == "��"
+    df = spark.createDataFrame([([-1, None, 10**6],), (None,), ([],)], "ids array<int>")
+    assert [r.t for r in df.select(decode(F.col("ids"), PATH).alias("t")).collect()] == ["��", "", ""]
+
+
 def test_decoder_replaces_each_invalid_byte(library):
     ids = [3 + b for b in (0xE2, 0x82, 0x41, 0xFF)]
     assert Decoder(PieceModel.load(PATH)).decode(ids) == library.decode(ids)
@@ -77,15 +111,14 @@ def test_other_models_are_refused(tmp_path):
     bad.write_bytes(b"\x12\x02\x18\x03")
     with pytest.raises(ValueError):
         PieceModel.load(str(bad))
-    assert BYTE == 6
 
 
 def test_frames(spark, library):
-    rows = [(1, "the cat", 9), (1, "the cat", 9), (2, None, 8), (None, "", 7), (3, "x " * 5000, 6)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    rows = [(1, "the cat", 9, 1), (1, "the cat", 9, 1), (2, None, 8, 1), (None, "", 7, 1), (3, "x " * 5000, 6, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, _code int")
     got = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(df, PATH).collect()}
-    assert got == {(i, len((t or "").encode()), len(library.encode(t or "")), len(library.encode(t or "")) > 4096) for i, t, _ in rows}
+    assert got == {(i, len((t or "").encode()), len(library.encode(t or "")), len(library.encode(t or "")) > 4096) for i, t, *_ in rows}
     assert count_tokens(df, PATH).count() == 5 and count_tokens(df.limit(0), PATH).count() == 0
     coded = encode_documents(df, PATH).collect()
     assert all(r.ids == library.encode(r.text or "") and r.decoded == (r.text or "") for r in coded)
-    assert encode_documents(df.limit(0), PATH).count() == 0
+    assert all(r._code == 1 for r in coded) and encode_documents(df.limit(0), PATH).count() == 0
