@@ -16,13 +16,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside, kept, slices
+
 #: Fixed values of the format: boxes that hold boxes, with the bytes that come before their children.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"udta": 0}
 #: Samples of SAMPLE_BYTES each; a chunk has CHUNK_SAMPLES, a keyframe comes every KEY_EVERY samples.
 SAMPLE_BYTES, CHUNK_SAMPLES, KEY_EVERY, TIMESCALE = 64, 32, 16, 8000
+#: Bytes of text that a worker turns into media at a time.
+BATCH_BYTES = 4 << 20
 MEDIA = "struct<media:binary,n_bytes:bigint,codec:string,timescale:bigint,duration:bigint,n_samples:bigint,keyframes:array<struct<start:bigint,length:bigint>>,error:string>"
 
 
@@ -138,43 +143,37 @@ def tracks(buf: memoryview) -> list[Track]:
     defaults: dict[int, tuple[int, int, int]] = {}
     state: dict[str, int] = {}
 
-    def walk(start: int, end: int, track: Track | None) -> None:
-        for kind, at, stop in boxes(buf, start, end):
-            if kind == b"trak":
-                track = Track()
-                found.append(track)
-            elif kind == b"moof":
-                state["moof"] = at - 8
-            if kind in CONTAINERS:
-                walk(at + CONTAINERS[kind], stop, track)
-            elif track is not None and kind == b"tkhd":
-                by_id[struct.unpack_from(">I", buf, at + (20 if buf[at] else 12))[0]] = track
-            elif track is not None and kind == b"mdhd":
-                track.timescale, track.duration = struct.unpack_from(">IQ", buf, at + 20) if buf[at] else struct.unpack_from(">II", buf, at + 12)
-            elif track is not None and kind == b"hdlr":
-                track.handler = bytes(buf[at + 8 : at + 12])
-            elif track is not None and kind == b"stsd":
-                track.codec = next((k.decode("latin-1") for k, _, _ in boxes(buf, at + 8, stop)), None)
-            elif track is not None and kind == b"stts":
-                track.deltas = _entries(buf, at, stop, "II")
-            elif track is not None and kind == b"stss":
-                track.sync = [x for (x,) in _entries(buf, at, stop, "I")]
-            elif track is not None and kind == b"stsc":
-                track.runs = [(a, b) for a, b, _ in _entries(buf, at, stop, "III")]
-            elif track is not None and kind in (b"stco", b"co64"):
-                track.chunks = tuple(x for (x,) in _entries(buf, at, stop, "Q" if kind == b"co64" else "I"))
-            elif track is not None and kind == b"stsz":
-                same, n = struct.unpack_from(">II", buf, at + 4)
-                if not same and at + 12 + 4 * n > stop or n > len(buf):
-                    raise ValueError("a sample table is cut off")
-                track.sizes = np.full(n, same, np.int64) if same else np.frombuffer(buf, ">u4", n, at + 12).astype(np.int64)
-            elif kind == b"trex":
-                number, _, delta, size, flags = struct.unpack_from(">5I", buf, at + 4)
-                defaults[number] = delta, size, flags
-            elif kind == b"tfhd":
-                fragment_header(at)
-            elif kind == b"trun":
-                run(at, stop)
+    def read(kind: bytes, at: int, stop: int, track: Track | None) -> None:
+        if kind == b"trex":
+            number, _, delta, size, flags = struct.unpack_from(">5I", buf, at + 4)
+            defaults[number] = delta, size, flags
+        elif kind == b"tfhd":
+            fragment_header(at)
+        elif kind == b"trun":
+            run(at, stop)
+        elif track is None:
+            return
+        elif kind == b"tkhd":
+            by_id[struct.unpack_from(">I", buf, at + (20 if buf[at] else 12))[0]] = track
+        elif kind == b"mdhd":
+            track.timescale, track.duration = struct.unpack_from(">IQ", buf, at + 20) if buf[at] else struct.unpack_from(">II", buf, at + 12)
+        elif kind == b"hdlr":
+            track.handler = bytes(buf[at + 8 : at + 12])
+        elif kind == b"stsd":
+            track.codec = next((k.decode("latin-1") for k, _, _ in boxes(buf, at + 8, stop)), None)
+        elif kind == b"stts":
+            track.deltas = _entries(buf, at, stop, "II")
+        elif kind == b"stss":
+            track.sync = [x for (x,) in _entries(buf, at, stop, "I")]
+        elif kind == b"stsc":
+            track.runs = [(a, b) for a, b, _ in _entries(buf, at, stop, "III")]
+        elif kind in (b"stco", b"co64"):
+            track.chunks = tuple(x for (x,) in _entries(buf, at, stop, "Q" if kind == b"co64" else "I"))
+        elif kind == b"stsz":
+            same, n = struct.unpack_from(">II", buf, at + 4)
+            if not same and at + 12 + 4 * n > stop or n > len(buf):
+                raise ValueError("a sample table is cut off")
+            track.sizes = np.full(n, same, np.int64) if same else np.frombuffer(buf, ">u4", n, at + 12).astype(np.int64)
 
     def fragment_header(at: int) -> None:
         flags, number = struct.unpack_from(">II", buf, at)
@@ -217,7 +216,23 @@ def tracks(buf: memoryview) -> list[Track]:
         track.fragments.append((base, column("size"), np.flatnonzero(sample_flags & 0x10000 == 0).tolist()))
         state["base"] = base + int(column("size").sum())
 
-    walk(0, len(buf), None)
+    open_boxes: list[tuple[Iterator[tuple[bytes, int, int]], Track | None]] = [(boxes(buf, 0, len(buf)), None)]
+    while open_boxes:  # a stack of its own: nesting may be of any depth
+        inside, track = open_boxes[-1]
+        box = next(inside, None)
+        if box is None:
+            open_boxes.pop()
+            continue
+        kind, at, stop = box
+        if kind == b"trak":
+            track = Track()
+            found.append(track)
+        elif kind == b"moof":
+            state["moof"] = at - 8
+        if kind in CONTAINERS:
+            open_boxes.append((boxes(buf, at + CONTAINERS[kind], stop), track))
+        else:
+            read(kind, at, stop, track)
     return found
 
 
@@ -241,8 +256,10 @@ def describe(media: bytes) -> dict:
             sizes.append(more)
             keys += [total + k for k in fragment_keys]
             total += len(more)
+        if any(len(x) and int(x.max()) > len(media) for x in [*offsets, *sizes]):
+            raise ValueError("samples lie outside the file")
         at, size = np.concatenate(offsets), np.concatenate(sizes)
-        if len(at) and int((at + size).max()) > len(media):
+        if len(at) and (int(at.min()) < 0 or int((at + size).max()) > len(media)):
             raise ValueError("samples lie outside the file")
         if keys and not (0 <= min(keys) and max(keys) < total):
             raise ValueError("a keyframe is no sample")
@@ -253,11 +270,24 @@ def describe(media: bytes) -> dict:
             last = stops[bisect_right(stops, k)] - 1
             ranges.append({"start": int(at[k]), "length": int(at[last] + size[last] - at[k])})
         duration = track.duration or sum(n * d for n, d in track.deltas)
+        if duration >= 1 << 63:
+            raise ValueError("the duration is out of range")
         return {"codec": track.codec, "timescale": track.timescale, "duration": duration, "n_samples": total, "keyframes": ranges, "error": None}
-    except (ValueError, struct.error, KeyError, IndexError) as error:
+    except (ValueError, struct.error, KeyError, IndexError, OverflowError) as error:
         return none | {"error": str(error)[:200]}
 
 
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+_FACTS = [("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", _RANGES), ("error", pa.string())]
+_MEDIA = pa.struct([("media", pa.binary()), ("n_bytes", pa.int64()), *_FACTS])
+_CHECKS = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+
+
+def _parts(data: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about BATCH_BYTES, so that a worker's memory does not grow with the batch."""
+    yield from slices(len(data), pc.fill_null(pc.binary_length(data), 0).to_pylist(), BATCH_BYTES)
+
+
 def text_to_media(text: Column) -> Column:
     """Struct MEDIA for a text: its UTF-8 bytes, padded, as samples of a container, and what describe()
     reads from that container. Null counts as empty; equal texts give equal values."""
@@ -265,26 +295,35 @@ def text_to_media(text: Column) -> Column:
     @F.arrow_udf(MEDIA)
     def media(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = []
-            for data in batch.cast(pa.binary()).to_pylist():
-                stored = write_container(padded(data or b""))
-                rows.append({"media": stored, "n_bytes": len(data or b"")} | describe(stored))
-            yield pa.array(rows, pa.struct([("media", pa.binary()), ("n_bytes", pa.int64()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("error", pa.string())]))
+            data = batch.cast(pa.binary())
+            for a, b in _parts(data):
+                rows = []
+                for value in data[a:b]:
+                    text_bytes = value.as_py() or b""
+                    stored = write_container(padded(text_bytes))
+                    rows.append({"media": stored, "n_bytes": len(text_bytes)} | describe(stored))
+                yield pa.array(rows, _MEDIA)
 
     return media(text)
 
 
 def read_payload(media: Column, keyframes: Column) -> Column:
-    """Checksums of the sample bytes that the keyframe ranges name in a stored container."""
+    """Checksums of the sample bytes that the keyframe ranges name in a stored container.
+
+    Null for null media; without ranges the payload is empty."""
 
     @F.arrow_udf("struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string>")
     def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for stored, ranges in batches:
             rows = []
-            for blob, keys in zip(stored.to_pylist(), ranges.to_pylist(), strict=True):
-                payload = b"".join(blob[k["start"] : k["start"] + k["length"]] for k in keys or ())
+            for value, keys in zip(stored, ranges, strict=True):
+                blob = value.as_py()
+                if blob is None:
+                    rows.append(None)
+                    continue
+                payload = b"".join(blob[k["start"] : k["start"] + k["length"]] for k in keys.as_py() or ())
                 rows.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(blob), "media_sha256": hashlib.sha256(blob).hexdigest()})
-            yield pa.array(rows, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]))
+            yield pa.array(rows, _CHECKS)
 
     return read(media, keyframes)
 
@@ -292,14 +331,31 @@ def read_payload(media: Column, keyframes: Column) -> Column:
 def media_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the fields of MEDIA for every row; rows are kept one for one, other columns stay, columns of
     these names are replaced; an empty table gives an empty result."""
-    out = df.withColumn("_media", text_to_media(F.col(text_col)))
-    names = [x.split(":")[0] for x in ("media", "n_bytes", "codec", "timescale", "duration", "n_samples", "keyframes", "error")]
-    return out.withColumns({n: F.col(f"_media.{n}") for n in names}).drop("_media")
+    names = ["media", "n_bytes", *(n for n, _ in _FACTS)]
+    return beside(df, text_to_media(F.col(text_col))).select(*kept(df, *names), *[F.col(f"new.{n}") for n in names])
+
+
+def describe_media(df: DataFrame, media_col: str = "media") -> DataFrame:
+    """Add codec, timescale, duration, n_samples, keyframes and error, read from a column of stored
+    containers (binary) without decoding payloads.
+
+    Null, empty, cut off or inconsistent media give nulls and an error text, whatever their bytes are.
+    Rows are kept one for one, repeated rows too; an empty table gives an empty result; columns of
+    these names are replaced, others stay."""
+
+    @F.arrow_udf("struct<" + MEDIA[MEDIA.index("codec:") :])
+    def facts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([describe(value.as_py()) for value in batch], pa.struct(_FACTS))
+
+    names = [n for n, _ in _FACTS]
+    return beside(df, facts(F.col(media_col))).select(*kept(df, *names), *[F.col(f"new.{n}") for n in names])
 
 
 def media_digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Checksums and a feature string, read back from the stored bytes of media_columns()."""
-    out = df.withColumn("_read", read_payload(F.col("media"), F.col("keyframes")))
+    needed = df.select(key, "media", "n_bytes", "codec", "timescale", "duration", "n_samples", "keyframes")
+    out = needed.withColumn("_read", read_payload(F.col("media"), F.col("keyframes")))
     ranges = F.sha2(F.array_join(F.transform("keyframes", lambda k: F.concat_ws("+", k["start"], k["length"])), ","), 256)
     feature = F.concat_ws(";", F.concat(F.lit("codec="), F.trim("codec")), F.concat(F.lit("rate="), F.col("timescale")), F.concat(F.lit("duration="), F.col("duration")), F.concat(F.lit("samples="), F.col("n_samples")), F.concat(F.lit("keyframes="), F.size("keyframes")), F.concat(F.lit("ranges="), ranges))
     return out.select(key, "n_bytes", "_read.*", feature.alias("feature"))

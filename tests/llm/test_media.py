@@ -1,10 +1,11 @@
 """Media containers: exact round trip, nested boxes, fragments and broken files."""
 
 import hashlib
+import random
 import struct
 import zlib
 
-from quillspan.llm.media import _box, _full, describe, media_columns, media_digest, padded, write_container
+from quillspan.llm.media import _box, _full, describe, describe_media, media_columns, media_digest, padded, write_container
 
 
 def test_round_trip():
@@ -48,13 +49,42 @@ def test_broken_files():
         assert d["error"] and d["codec"] is None and d["keyframes"] is None
 
 
+def crafted():
+    """Well-formed boxes whose numbers are absurd."""
+    deep = b""
+    for _ in range(3000):
+        deep = _box(b"moov", deep)
+    yield deep
+    stsd = _full(b"stsd", struct.pack(">I", 1), _box(b"avc1"))
+    head = lambda duration, *tables: _box(b"moov", _box(b"trak", _box(b"mdia", _full(b"mdhd", struct.pack(">QQIQ", 0, 0, 600, duration), version=1), _box(b"minf", _box(b"stbl", stsd, *tables)))))
+    one = [_full(b"stsc", struct.pack(">4I", 1, 1, 1, 1)), _full(b"stsz", struct.pack(">3I", 0, 1, 4))]
+    yield head(0, *one, _full(b"co64", struct.pack(">IQ", 1, 2**64 - 1)))
+    yield head(2**64 - 1, *one, _full(b"co64", struct.pack(">IQ", 1, 0)))
+    yield head(0, _full(b"stsc", struct.pack(">4I", 1, 1, 1, 1)), _full(b"stsz", struct.pack(">2I", 2**32 - 1, 1)), _full(b"stco", struct.pack(">2I", 1, 0)))
+    yield head(0, _full(b"stts", struct.pack(">I", 2**32 - 1)))
+
+
+def test_describe_stored_media(spark):
+    good = write_container(padded(b"hello" * 90))
+    rng = random.Random(13)
+    broken = [bytes(b if rng.random() > 0.02 else rng.randrange(256) for b in good) for _ in range(300)]
+    rows = [(1, good, "x"), (1, good, "x"), (2, None, "x"), (3, b"", "x")] + [(i, m, "x") for i, m in enumerate([*crafted(), *broken], 10)]
+    df = spark.createDataFrame(rows, "id long, media binary, codec string")
+    got = describe_media(df).collect()
+    assert len(got) == len(rows) and all((r.error is None) == (r.keyframes is not None) for r in got)
+    assert [(r.codec, r.n_samples) for r in got if r.id == 1] == [("raw ", 8)] * 2
+    assert all(r.error for r in got if r.id in (2, 3, 10, 11, 12, 13, 14))
+    assert describe_media(df.limit(0)).count() == 0
+
+
 def test_frames(spark):
-    rows = [(1, "héllo", "x"), (1, "héllo", "x"), (2, None, "x"), (None, "", "x"), (3, "z" * 100_000, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, codec string")
+    rows = [(1, "héllo", "x", "y"), (1, "héllo", "x", "y"), (2, None, "x", "y"), (None, "", "x", "y"), (3, "z" * 100_000, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _read string, _media string")
+    assert all(r._read == "x" and r._media == "y" for r in media_columns(df).collect())
     got = media_digest(media_columns(df)).collect()
     assert len(got) == 5
     want = {}
-    for i, t, _ in rows:
+    for i, t, *_ in rows:
         p = padded((t or "").encode())
         want[i] = (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert all((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == want[r.doc_id] for r in got)
