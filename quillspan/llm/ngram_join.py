@@ -3,8 +3,9 @@
 Texts with one set of word shingles form one class from the start. MinHash bands bring candidates
 together; within a band's bucket MinHash values are compared a few at a time, and a pair goes as soon as
 the posterior probability that it reaches the threshold is below the tolerance. What is left connects
-texts into clusters, and inside a cluster every pair is verified exactly on its shingle sets, in tiles
-of bounded size. Pairs never become rows: tiles return link counts and spanning edges.
+texts into clusters. A cluster is dealt to tiles of bounded size, as its number of links is wanted: in a
+tile pairs are pruned by the same rule, and those left are verified exactly on their shingle sets. Pairs
+never become rows: tiles return link counts and spanning edges.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, checkpoint
+from .common import Memo, checkpoint, slices
 from .quality import window_hashes
 
 #: Words in a shingle and the similarity that makes a link.
@@ -31,6 +33,8 @@ HASHES = BANDS * BAND_ROWS
 STEP, TOLERANCE = 16, 1e-7
 #: Texts in a block of a bucket, and texts and shingles in a block of a cluster; a tile has two blocks.
 BUCKET_BLOCK, TILE_TEXTS, TILE_SHINGLES = 1024, 512, 400_000
+#: Bytes of text that a worker hashes at a time.
+BATCH_BYTES = 8 << 20
 
 _rng = np.random.default_rng(20_240_229)
 _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -78,8 +82,8 @@ def signature(text: Column) -> Column:
         memo = Memo(_word_hash, 250_000)
         for batch in batches:
             keys, counts, sigs = [], [], []
-            for data in batch.cast(pa.binary()).to_pylist():
-                s = shingles(data or b"", memo)
+            for data in batch.cast(pa.binary()):
+                s = shingles(data.as_py() or b"", memo)
                 some = len(s) > 0
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if some else None)
                 counts.append(len(s) if some else None)
@@ -89,6 +93,21 @@ def signature(text: Column) -> Column:
     return sign(text)
 
 
+def shingle_hashes(text: Column) -> Column:
+    """The sorted shingle hashes of a text as bytes, so that no tile hashes a text again."""
+
+    @F.arrow_udf("binary")
+    def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo = Memo(_word_hash, 250_000)
+        for batch in batches:
+            data = batch.cast(pa.binary())
+            sizes = pc.fill_null(pc.binary_length(data), 0).to_pylist()
+            for a, b in slices(len(data), sizes, BATCH_BYTES):
+                yield pa.array([shingles(x.as_py() or b"", memo).tobytes() for x in data[a:b]], pa.binary())
+
+    return hashes(text)
+
+
 @lru_cache(maxsize=8)
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[tuple[int, int], ...]:
     """(values compared, matches a pair must have) after each step.
@@ -168,14 +187,30 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
 
-def verified(sets: list[np.ndarray], side: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """Boolean matrix of the pairs of a tile whose Jaccard similarity reaches the threshold.
+def unpruned(sigs: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """(i, j) rows, i < j, of the pairs of a tile that pruning leaves.
 
     side tells a text's block; in a tile of two blocks only pairs across them count."""
+    across, out = side.max() != side.min(), []
+    for i in range(len(sigs) - 1):
+        others = np.arange(i + 1, len(sigs))
+        if across:
+            others = others[side[others] != side[i]]
+        found = others[similar_to(sigs[i], sigs[others])]
+        out.append(np.stack((np.full(len(found), i), found), axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def common_counts(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Shingles in common of each pair of sorted sets: pair by pair where pairs are few, else as products
+    of 0/1 matrices over the shingles that several sets hold. Counts are exact whole numbers."""
+    used, pairs = np.unique(pairs, return_inverse=True)
+    pairs, sets = pairs.reshape(-1, 2), [sets[i] for i in used]
     n = len(sets)
-    sizes = np.array([len(s) for s in sets])
+    if len(pairs) < 4 * n:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in pairs], np.float64)
     every = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, place, count = np.unique(every, return_inverse=True, return_counts=True)
     shared = count > 1
     column = np.cumsum(shared) - 1
@@ -183,53 +218,53 @@ def verified(sets: list[np.ndarray], side: np.ndarray, threshold: float = THRESH
     cols, rows = column[place[use]], owner[use]
     order = np.argsort(cols, kind="stable")
     cols, rows = cols[order], rows[order]
-    common = np.zeros((n, n), np.float32)
-    width = max(256, (8 << 20) // (4 * n))
+    common = np.zeros((n, n))
+    width = max(256, (8 << 20) // (4 * n))  # below 2^24, so that each product is exact
     bounds = np.searchsorted(cols, np.arange(0, (cols[-1] if len(cols) else 0) + width, width))
     for k, (a, b) in enumerate(zip(bounds, [*bounds[1:], len(cols)], strict=True)):
         if b > a:
             x = np.zeros((n, width), np.float32)
             x[rows[a:b], cols[a:b] - k * width] = 1
             common += x @ x.T
-    union = sizes[:, None] + sizes[None, :] - common
-    # exact: the counts are whole numbers below 2^24 in a tile, and the threshold is a ratio of whole numbers
-    linked = np.round(common.astype(np.float64) * 1_000_000) >= np.round(threshold * 1_000_000) * union
-    np.fill_diagonal(linked, False)
-    if side.max() != side.min():
-        linked &= side[:, None] != side[None, :]
-    return linked
+    return common[pairs[:, 0], pairs[:, 1]]
+
+
+def verified(sets: list[np.ndarray], pairs: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Those of the pairs whose Jaccard similarity reaches the threshold, compared as whole numbers."""
+    if not len(pairs):
+        return pairs
+    sizes = np.array([len(s) for s in sets], np.float64)
+    common = common_counts(sets, pairs)
+    union = sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - common
+    return pairs[np.round(common * 1_000_000) >= np.round(threshold * 1_000_000) * union]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per tile: rows (a, null, links, doc_links) and spanning edges (a, b, 0, 0)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("doc_links", pa.int64())])
-    memo = Memo(_word_hash, 250_000)
     for run in _runs(batches, ["cluster", "low", "high"]):
-        nodes, sets, side, copies, seen = [], [], [], [], set()
-        for row in run.select(["node", "block", "copies", "ckey", "text"]).to_pylist():
-            s = shingles((row["text"] or "").encode(), memo)
-            if row["node"] in seen or xxhash.xxh3_128_digest(s.tobytes()) != row["ckey"]:
-                continue  # a repeated row, or another text under the same id
-            seen.add(row["node"])
-            nodes.append(row["node"]), sets.append(s), side.append(row["block"]), copies.append(row["copies"])
-        if len(nodes) < 2:
+        if run.num_rows < 2:
             continue
-        linked = verified(sets, np.array(side))
-        links, doc_links = linked.sum(axis=1), linked @ np.array(copies, np.int64)
-        has = np.flatnonzero(links)
-        out = [(nodes[i], None, int(links[i]), int(doc_links[i])) for i in has]
-        left = set(has.tolist())
-        while left:
-            root = left.pop()
-            todo = [root]
-            while todo:
-                for k in np.flatnonzero(linked[todo.pop()]).tolist():
-                    if k in left:
-                        left.discard(k)
-                        todo.append(k)
-                        out.append((nodes[root], nodes[k], 0, 0))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        nodes, side, copies = (run[c].to_numpy() for c in ("node", "block", "copies"))
+        sets = [np.frombuffer(x, np.uint64) for x in run["hashes"].to_pylist()]
+        sigs = np.frombuffer(b"".join(run["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
+        linked = verified(sets, unpruned(sigs, side))
+        if not len(linked):
+            continue
+        both = np.concatenate((linked, linked[:, ::-1]))
+        links = np.bincount(both[:, 0], minlength=len(nodes))
+        doc_links = np.bincount(both[:, 0], copies[both[:, 1]].astype(np.float64), minlength=len(nodes)).astype(np.int64)
+        out = [(nodes[i], None, int(links[i]), int(doc_links[i])) for i in np.flatnonzero(links)]
+        root = np.arange(len(nodes))  # union by the least place
+        for a, b in linked.tolist():
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((nodes[a], nodes[b], 0, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -276,38 +311,44 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, class_id, n_links, n_text_links, n_copies and text_hash (xxhash64 of the text).
+    """Per row: key, class_id, class_key, n_links, n_text_links, n_copies and text_hash (xxhash64 of the text).
 
     Two texts are linked if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more.
-    class_id is the least key among the texts that links connect; n_copies counts other rows with the
-    same shingle set, n_text_links other shingle sets that are linked, n_links all other rows linked.
-    A text of fewer than 5 words is one shingle. A text without words, null or empty, links to nothing
-    and is a class alone. A row with a null key has a null class and no links. Repeated rows are copies.
-    An empty table gives an empty result; other columns are left behind."""
+    class_id is the least key among the texts that links connect and class_key the hash of that row's
+    shingle set (null for a text without words), which tells classes apart where different texts share
+    a key; n_copies counts other rows with the same shingle set, n_text_links other shingle sets that
+    are linked, n_links all other rows linked. A text of fewer than 5 words is one shingle. A text
+    without words, null or empty, links to nothing and is a class alone. A row with a null key has a
+    null class and no links. Repeated rows are copies. An empty table gives an empty result; other
+    columns are left behind."""
     rows = checkpoint(df.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), signature(F.col(text)).alias("s")).select("id", "text_hash", "s.*"))
     sets = rows.where("id IS NOT NULL AND ckey IS NOT NULL").groupBy("ckey").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    first = rows.select(F.col("id").alias("rep"), F.col("ckey").alias("_ckey"), "n_shingles", "sig").dropDuplicates(["rep", "_ckey"])
-    nodes = sets.join(first, (sets["ckey"] == first["_ckey"]) & (sets["rep"] == first["rep"])).select("ckey", sets["rep"], "copies", "n_shingles", "sig")
+    first = rows.select(F.col("id").alias("rep"), F.col("ckey").alias("_ckey"), "text_hash", "n_shingles", "sig").dropDuplicates(["rep", "_ckey"])
+    nodes = sets.join(first, (sets["ckey"] == first["_ckey"]) & (sets["rep"] == first["rep"])).select("ckey", sets["rep"], "text_hash", "copies", "n_shingles", "sig")
     nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     clusters = components(_candidates(nodes))
-    placed = clusters.join(nodes.drop("sig"), "node")
-    spans = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    placed = clusters.join(nodes, "node")
+    spans = clusters.join(nodes.select("node", "n_shingles"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
     placed = placed.join(spans, "root").withColumn("blocks", _blocks(F.greatest(F.col("n") / TILE_TEXTS, F.col("total") / TILE_SHINGLES)))
-    placed = placed.select("node", "rep", "ckey", "copies", F.col("root").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(placed, "rep")
-    tiles = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("node", "rep", "text_hash", "copies", "sig", F.col("root").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    texts = df.select(F.col(key).alias("rep"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(placed, ["rep", "text_hash"])
+    one = texts.dropDuplicates(["node"]).select("cluster", "blocks", "block", "node", "copies", "sig", shingle_hashes(F.col("text")).alias("hashes"))
+    tiles = one.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
-    found = checkpoint(tiles.select("cluster", "low", "high", "node", "block", "copies", "ckey", "text").mapInArrow(_tiles, "a long, b long, links long, doc_links long"))
+    found = checkpoint(tiles.select("cluster", "low", "high", "node", "block", "copies", "sig", "hashes").mapInArrow(_tiles, "a long, b long, links long, doc_links long"))
 
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"), F.sum("doc_links").alias("doc_links"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
-    named = roots.join(nodes.select("node", "rep"), "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = named.join(least, "root").join(links, F.col("node") == F.col("a")).select("node", "class_id", "links", "doc_links")
+    named = roots.join(nodes.select("node", "rep", "ckey"), "node")
+    least = named.groupBy("root").agg(F.min(F.struct("rep", "ckey")).alias("first"))
+    linked = named.drop("rep", "ckey").join(least, "root").join(links, F.col("node") == F.col("a")).select("node", "first", "links", "doc_links")
     known = nodes.select("ckey", "rep", "copies", "node").join(linked, "node", "left").drop("node")
     out = rows.select("id", "text_hash", "ckey").join(known.withColumnRenamed("ckey", "_ckey"), F.col("ckey") == F.col("_ckey"), "left")
-    copies = F.when(F.col("id").isNotNull(), F.coalesce(F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long")
-    more = lambda c: F.when(F.col("id").isNotNull(), F.coalesce(F.col(c), F.lit(0))).otherwise(0).cast("long")
-    class_id = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "rep", "id"))
-    return out.select(F.col("id").alias(key), class_id.alias("class_id"), (more("doc_links") + copies).alias("n_links"), more("links").alias("n_text_links"), copies.alias("n_copies"), "text_hash")
+    some = F.col("id").isNotNull()
+    copies = F.when(some, F.coalesce(F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long")
+    more = lambda c: F.when(some, F.coalesce(F.col(c), F.lit(0))).otherwise(0).cast("long")
+    class_id = F.when(some, F.coalesce("first.rep", "rep", "id"))
+    class_key = F.when(some, F.xxhash64(F.coalesce("first.ckey", "ckey")))
+    class_key = F.when(F.col("ckey").isNotNull(), class_key)
+    return out.select(F.col("id").alias(key), class_id.alias("class_id"), class_key.alias("class_key"), (more("doc_links") + copies).alias("n_links"), more("links").alias("n_text_links"), copies.alias("n_copies"), "text_hash")
