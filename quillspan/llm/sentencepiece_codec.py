@@ -18,8 +18,8 @@ from .piece_model import BPE, BYTE, CONTROL, SPACE, UNKNOWN, UNUSED, PieceModel
 from .token_counts import merge
 
 codecs.register_error("quillspan_each_byte", lambda e: ("�" * (e.end - e.start), e.end))
-#: Bytes of text that a worker encodes or decodes at a time.
-BATCH_BYTES = 2_000_000
+#: Bytes of text that a worker encodes or decodes at a time, and characters of segments it remembers.
+BATCH_BYTES, MEMO_CHARS = 3_000_000, 48
 
 
 class StreamingViterbi:
@@ -39,11 +39,13 @@ class StreamingViterbi:
 
     Symbols are piece ids; a character outside the inventory is -1 minus its code point."""
 
-    def __init__(self, model: PieceModel, memo: int = 100_000):
+    def __init__(self, model: PieceModel, memo: int = 250_000):
         self.model, self._find = model, model.chunk_pattern.findall
         # ids are kept as the bytes of 32-bit integers: small, and joined without a list
-        self._memo = Memo(None, memo)
-        self._follows = Memo(lambda key: self._stable((self._name(key // len(model.pieces)), model.pieces[key % len(model.pieces)])), 2 * memo, 0)
+        self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._cap = memo
+        self._follows = Memo(lambda key: self._stable((self._name(key // len(model.pieces)), model.pieces[key % len(model.pieces)])), 200_000, 0)
         self._bytes = [array("i", [i]).tobytes() for i in range(len(model.pieces))]
         self._sizes = [len(p) for p in model.pieces]
         self._unk_score = min(model.scores, default=0.0) - 10.0
@@ -174,7 +176,10 @@ class StreamingViterbi:
                     break
                 same += 1
             window.read(text[window.back(same) :])
-            yield b"".join(map(self._coded, window.done + window.path(len(window.last) - 1)))
+            symbols = window.path(len(window.last) - 1)
+            if window.done:
+                symbols = window.done + symbols
+            yield array("i", symbols).tobytes() if min(symbols) >= 0 else b"".join(map(self._coded, symbols))
             before = text
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -182,17 +187,23 @@ class StreamingViterbi:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; segments that are new in them are encoded together."""
+        """Ids of each text; segments that are new in them are encoded together.
+
+        Segments are remembered in two generations, so that memory stays bounded; very long ones are not."""
         segments = [self._find(self.model.normalised(text)) if text else () for text in texts]
-        memo, old = self._memo, self._memo.old
-        every = set().union(*segments)
-        known = {s: ids for s in every if (ids := memo.get(s) or old.get(s)) is not None}
-        new = sorted(every - known.keys())
-        for segment, ids in zip(new, self._in_order(new), strict=True):
-            known[segment] = ids
-            if len(segment) <= memo.max_key:
-                memo.put(segment, ids)
-        return [np.frombuffer(b"".join(map(known.__getitem__, found)), np.int32) for found in segments]
+        memo, old = self._memo, self._old
+        missing = set().union(*segments) - memo.keys()
+        again = missing & old.keys()
+        memo.update(zip(again, map(old.__getitem__, again), strict=True))
+        new = sorted(missing - again)
+        memo.update(zip(new, self._in_order(new), strict=True))
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, found)), np.int32) for found in segments]
+        for segment in new:
+            if len(segment) > MEMO_CHARS:
+                del memo[segment]
+        if len(memo) > self._cap:
+            self._old, self._memo = memo, {}
+        return out
 
 
 class Window:
@@ -216,8 +227,8 @@ class Window:
         if boundary < self.since:
             self.restart()
             return 0
-        for kept in (self.last, self.states, self.score):
-            del kept[boundary - self.base + 1 :]
+        at = boundary - self.base + 1
+        del self.last[at:], self.states[at:], self.score[at:]
         return boundary
 
     def read(self, chars: str) -> None:
