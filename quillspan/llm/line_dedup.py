@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import beside, checkpoint, kept
 
 #: White space stripped from lines, and the lines that count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -36,16 +36,18 @@ def _occurrences(df: DataFrame, key: str, text: str, min_chars: int) -> DataFram
     return keys.select("doc", "th", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
-def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def repeated_lines(occurrences: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """h1, h2, n_docs and keep_doc (the largest id) of each line key found in min_docs documents or more."""
-    occurrences = _occurrences(df, key, text, min_chars)
     return occurrences.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("keep_doc")).where(F.col("n_docs") >= min_docs)
 
 
 def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc, th and pos of each line that goes."""
+    """doc, th and pos of each line that goes.
+
+    Lines are hashed once: counting, the sample for the ranges and ranging itself read the stored hashes."""
     spark = df.sparkSession
-    repeated = checkpoint(repeated_lines(df, key, text, min_chars, min_docs))
+    occurrences = checkpoint(_occurrences(df, key, text, min_chars))
+    repeated = checkpoint(repeated_lines(occurrences, min_docs))
     total = repeated.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     #: a hash in more documents than this is hot; at most 4 x partitions hashes can be
@@ -54,7 +56,7 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     salts = F.coalesce(F.col("salts"), F.lit(1))
     headers = repeated.withColumn("salts", F.ceil(F.col("n_docs") / share).cast("int"))
     headers = headers.select("h1", "h2", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast(df.schema[key].dataType).alias("doc"), F.lit(None).cast("long").alias("th"), F.lit(None).cast("int").alias("pos"), "keep_doc")
-    rows = _occurrences(df, key, text, min_chars).join(F.broadcast(hot), ["h1", "h2"], "left")
+    rows = occurrences.join(F.broadcast(hot), ["h1", "h2"], "left")
     rows = rows.select("h1", "h2", F.pmod(F.xxhash64("doc"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc", "th", "pos", F.lit(None).cast(df.schema[key].dataType).alias("keep_doc"))
     ordered = headers.unionByName(rows).repartitionByRange(parts, "h1", "h2", "salt")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("kind", F.col("doc").desc(), "th", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -83,12 +85,13 @@ def keep_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     largest id. Null or empty text is one empty line. A null id is no document: its row stays whole.
     Rows with one id count as one document and each is judged by its own text; repeated rows all get
     the same bitmap. An empty table gives an empty result; columns of these names are replaced."""
-    df = df.drop("n_lines", "n_dropped", "keep_bitmap")
-    drops = dropped_lines(df.select(key, text), key, text, min_chars, min_docs).groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_doc_th")).agg(F.array_sort(F.collect_set("pos")).alias("_drops"))
-    out = df.withColumn("_th", F.xxhash64(text)).join(drops, (F.col(key) == F.col("_doc")) & (F.col("_th") == F.col("_doc_th")), "left")
-    out = out.withColumn("n_lines", F.size(split_lines(F.col(text))).cast("long"))
-    out = out.withColumns({"n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long"), "keep_bitmap": F.when(F.col("_drops").isNotNull(), _bitmap(F.col("_drops"), F.col("n_lines").cast("int")))})
-    return out.drop("_doc", "_doc_th", "_th", "_drops")
+    drops = dropped_lines(df.select(key, text), key, text, min_chars, min_docs).groupBy("doc", F.col("th").alias("doc_th")).agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    rows = beside(df, F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("th")))
+    out = rows.join(drops, (F.col("new.id") == F.col("doc")) & (F.col("new.th") == F.col("doc_th")), "left")
+    n_lines = F.size(split_lines(F.col("row")[text]))
+    n_dropped = F.coalesce(F.size("drops"), F.lit(0)).cast("long")
+    bitmap = F.when(F.col("drops").isNotNull(), _bitmap(F.col("drops"), n_lines))
+    return out.select(*kept(df, "n_lines", "n_dropped", "keep_bitmap"), n_lines.cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), bitmap.alias("keep_bitmap"))
 
 
 def kept_text(text: Column, bitmap: Column) -> Column:

@@ -34,9 +34,9 @@ def test_lines(spark):
         lines = [rng.choice([LONG % rng.randint(0, 9), (LONG % rng.randint(0, 9)).upper() + " \t", "short", "", f"É line of its own number {i} that is long enough {rng.random()}"]) for _ in range(rng.randint(1, 40))]
         rows.append((i, "\n".join(lines)))
     rows += [(59, rows[59][1]), (7, LONG % 1), (None, LONG % 1), (100, None), (101, ""), (102, "\n" * 20), (103, "\n".join([LONG % 2] * 3000))]
-    df = spark.createDataFrame([(*r, "a", 5) for r in rows], "doc_id long, text string, doc string, pos int")
+    df = spark.createDataFrame([(*r, "a", 5) for r in rows], "doc_id long, text string, _doc string, pos int")
     marked = keep_bitmaps(df)
-    assert {"doc", "pos"} <= set(marked.columns)
+    assert {"_doc", "pos"} <= set(marked.columns)
     got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in marked.select("doc_id", "n_lines", "n_dropped", kept_text(F.col("text"), F.col("keep_bitmap")).alias("kept")).collect()]
     assert sorted(got, key=str) == brute_lines(rows)
     assert keep_bitmaps(df.limit(0)).count() == 0
