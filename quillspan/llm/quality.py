@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import Memo, beside, kept, slices
 
 #: Labelled rows that the forest and its threshold are fitted on, at most (those of lowest hash).
 SAMPLE_ROWS = 4000
@@ -207,6 +207,8 @@ def quality_rules(df: DataFrame, forest: IsolationForest, text: str = "text") ->
     those, else anomaly <= threshold. Null and empty texts have no words and fail. Whole texts are read,
     however long. Repeated rows get one verdict each; an empty table gives an empty result; columns of
     these names are replaced, others stay."""
-    out = df.withColumn("_s", rule_statistics(F.col(text))).withColumn("anomaly", _verdict(forest, F.col("_s")))
-    failed = (F.col("_s.n_words") < 20) | (100 * F.col("_s.n_repeat_words") > 30 * F.col("_s.n_words"))
-    return out.withColumns({n: F.col(f"_s.{n}") for n in STATS} | {"base_failed": failed, "kept": ~failed & (F.col("anomaly") <= forest.threshold)}).drop("_s")
+    stats = beside(df, rule_statistics(F.col(text)))
+    judged = stats.withColumn("anomaly", _verdict(forest, F.col("new")))
+    failed = (F.col("new.n_words") < 20) | (100 * F.col("new.n_repeat_words") > 30 * F.col("new.n_words"))
+    verdict = ~failed & (F.col("anomaly") <= forest.threshold)
+    return judged.select(*kept(df, *STATS, "base_failed", "kept", "anomaly"), *[F.col(f"new.{n}") for n in STATS], failed.alias("base_failed"), verdict.alias("kept"), "anomaly")

@@ -56,9 +56,9 @@ def test_quality_on_tables(spark):
     junk = [rows[i] for i, q in truth.items() if q == 0]
     assert np.mean([r.kept for r in clean]) > 0.98 and np.mean([r.kept for r in junk]) < 0.1
     assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_lines) == brute(r.text) for r in list(rows.values())[:150])
-    odd = spark.createDataFrame([(1, None, 3), (None, "", 3), (2, "w " * 50000, 3), (2, "w " * 50000, 3)], "doc_id long, text string, kept int")
+    odd = spark.createDataFrame([(1, None, 3), (None, "", 3), (2, "w " * 50000, 3), (2, "w " * 50000, 3)], "doc_id long, text string, _s int")
     got = quality_rules(odd, forest).collect()
-    assert len(got) == 4 and not any(r.kept for r in got)
+    assert len(got) == 4 and not any(r.kept for r in got) and all(r._s == 3 for r in got)
     assert quality_rules(odd.limit(0), forest).count() == 0
     nobody = fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality_rules(odd, nobody).count() == 4
