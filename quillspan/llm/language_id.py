@@ -28,7 +28,7 @@ SAMPLE_ROWS, SAMPLE_BYTES, CHECK_BYTES = 128, 96_000, 96_000
 #: Learned languages at most: a table of about 3 MB each goes to every worker.
 MAX_LANGUAGES = 500
 #: Symbols of a block and blocks that are parsed side by side; neither changes a result.
-BLOCK, LANES = 512, 4096
+BLOCK, LANES = 512, 2048
 UNKNOWN = "und"
 #: Score of a text as cheap as the calibration rows; one as dear as the same letters shuffled has 1 - this.
 USUAL = 0.99
@@ -208,7 +208,7 @@ class CrossParser:
         """Counts of consecutive blocks; carried: the states before the first one. Returns those after the last."""
         n, languages = len(blocks), len(self.languages)
         order = np.argsort(-sizes, kind="stable")
-        columns = np.ascontiguousarray(blocks[order].T).astype(np.int64)
+        columns = np.ascontiguousarray(blocks[order].T)
         live = np.searchsorted(-sizes[order], -np.arange(BLOCK), "left")
         state = np.repeat(self.roots[:, None], n, axis=1)
         started = np.zeros((BLOCK, languages, n), bool)
@@ -216,7 +216,7 @@ class CrossParser:
             m = live[k]
             if not m:
                 break
-            state[:, :m], started[k, :, :m] = self._step(state[:, :m], columns[k, :m])
+            state[:, :m], started[k, :, :m] = self._step(state[:, :m], columns[k, :m].astype(np.int64))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         started, final = started[:, :, place], state[:, place]  # in the order of the blocks again
@@ -336,7 +336,7 @@ def identify(df: DataFrame, parser: CrossParser, text: str = "text") -> DataFram
             for t in batch:
                 texts.append(t.as_py())
                 size += len(texts[-1] or "")
-                if size > 2_000_000:
+                if size > 1_000_000:
                     found += parser.predict(texts)
                     texts, size = [], 0
             found += parser.predict(texts)

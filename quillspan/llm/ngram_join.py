@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, checkpoint, slices
-from .quality import window_hashes
+from .common import checkpoint, slices
+from .quality import window_hashes, word_hashes
 
 #: Words in a shingle and the similarity that makes a link.
 SHINGLE, THRESHOLD = 5, 0.8
@@ -41,19 +41,14 @@ _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def shingles(data: bytes, memo: Memo, width: int = SHINGLE) -> np.ndarray:
+def shingles(data: bytes, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of `width` words (split at ASCII white space).
 
     A text of fewer words is one shingle; one without words has none."""
     words = data.split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    return np.unique(window_hashes(hashes, min(width, len(words)))) + np.uint64(min(width, len(words)))
+    return np.unique(window_hashes(word_hashes(words), min(width, len(words)))) + np.uint64(min(width, len(words)))
 
 
 def minhash(s: np.ndarray) -> np.ndarray:
@@ -79,11 +74,10 @@ def signature(text: Column) -> Column:
 
     @F.arrow_udf("struct<ckey:binary,n_shingles:bigint,sig:binary>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = Memo(_word_hash, 250_000)
         for batch in batches:
             keys, counts, sigs = [], [], []
             for data in batch.cast(pa.binary()):
-                s = shingles(data.as_py() or b"", memo)
+                s = shingles(data.as_py() or b"")
                 some = len(s) > 0
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if some else None)
                 counts.append(len(s) if some else None)
@@ -98,12 +92,11 @@ def shingle_hashes(text: Column) -> Column:
 
     @F.arrow_udf("binary")
     def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = Memo(_word_hash, 250_000)
         for batch in batches:
             data = batch.cast(pa.binary())
             sizes = pc.fill_null(pc.binary_length(data), 0).to_pylist()
             for a, b in slices(len(data), sizes, BATCH_BYTES):
-                yield pa.array([shingles(x.as_py() or b"", memo).tobytes() for x in data[a:b]], pa.binary())
+                yield pa.array([shingles(x.as_py() or b"").tobytes() for x in data[a:b]], pa.binary())
 
     return hashes(text)
 

@@ -9,9 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quillspan.llm import language_id
-from quillspan.llm.common import Memo
 from quillspan.llm.language_id import CrossParser, SuffixAutomaton, identify, learn, phrases, symbols
-from quillspan.llm.quality import IsolationForest, _word_hash, fit, quality_rules, statistics
+from quillspan.llm.quality import IsolationForest, fit, quality_rules, statistics
 from quillspan.llm.queries import held_out
 
 SF = "/root/testdata/sf0.01"
@@ -30,7 +29,7 @@ def brute(text):
 def test_statistics():
     rng = random.Random(6)
     texts = ["", "a\x85b c d\x1ce", "x y " * 40, "\n\n# a|b\n# a|b\n"] + [" ".join(rng.choice("ab\n#") for _ in range(rng.randint(1, 80))) for _ in range(200)]
-    got = statistics([t.encode() for t in texts], Memo(_word_hash))
+    got = statistics([t.encode() for t in texts])
     assert [tuple(got[k][i] for k in got) for i in range(len(texts))] == [brute(t) for t in texts]
 
 
