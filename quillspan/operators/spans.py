@@ -7,10 +7,11 @@ spans in an Arrow UDF; everything else is a join or window over exploded spans.
 from __future__ import annotations
 
 import re
-import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +28,24 @@ ORDERS: dict[str, Callable[[dict], tuple]] = {
 
 
 def resolve_list(spans: list[dict], order: str) -> list[dict]:
-    """Every span with KEPT, DUPLICATE or OVERLAP_DROPPED and the kept span it gave way to."""
-    kept: list[dict] = []
+    """Every span with KEPT, DUPLICATE or OVERLAP_DROPPED and the kept span it gave way to.
+
+    Kept spans are flat: those in the way of a span are neighbours in a list sorted by start."""
+    begins: list[int] = []
+    kept: list[tuple[int, int, int]] = []  # end, turn of acceptance, start; beside begins
     seen, out = set(), []
-    for s in sorted(spans, key=ORDERS[order]):
+    for turn, s in enumerate(sorted(spans, key=ORDERS[order])):
         identity = s["start"], s["end"], s["label"]
-        other = next((k for k in kept if s["start"] < k["end"] and k["start"] < s["end"]), None)
+        at = low = bisect_left(begins, s["end"])
+        while low and kept[low - 1][0] > s["start"]:
+            low -= 1
+        other = min(kept[low:at], key=lambda k: k[1], default=None)
         status = "DUPLICATE" if identity in seen else "OVERLAP_DROPPED" if other else "KEPT"
         seen.add(identity)
         if status == "KEPT":
-            kept.append(s)
-        out.append({**s, "status": status, "kept_start": other["start"] if other else None, "kept_end": other["end"] if other else None})
+            begins.insert(at, s["start"])
+            kept.insert(at, (s["end"], turn, s["start"]))
+        out.append({**s, "status": status, "kept_start": other[2] if other else None, "kept_end": other[0] if other else None})
     return sorted(out, key=lambda s: (s["start"], s["end"], s["label"], s["rank"], s["status"]))
 
 
@@ -53,16 +61,13 @@ def resolve_overlaps(spans: Column, order: str = "longest") -> Column:
     return resolve(spans)
 
 
+#: A word: letters and digits, and the marks that follow them.
+_MARKED_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
+
+
 def tokens_of(text: str) -> list[dict]:
-    """Alphanumeric runs; combining marks extend a run, so a decomposed letter never splits a word."""
-    out, start = [], None
-    for i, c in enumerate(text + " "):
-        if c.isalnum():
-            start = i if start is None else start
-        elif start is not None and not (i < len(text) and unicodedata.category(c)[0] == "M"):
-            out.append({"word": text[start:i], "start": start, "end": i})
-            start = None
-    return out
+    """Words with their places; combining marks stay with their letter."""
+    return [{"word": m.group(), "start": m.start(), "end": m.end()} for m in _MARKED_WORD.finditer(text)]
 
 
 def mark_aware_tokens(text: Column) -> Column:
