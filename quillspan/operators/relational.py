@@ -82,11 +82,44 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator == 0, F.lit(0.0)).otherwise(numerator / denominator)
 
 
+def _in_cells(df: DataFrame, groups: list[str], order: str, cell: int, end: Column, before: Callable[[Column], Column]) -> DataFrame:
+    """df with _cell (a range of a whole-number order) and _before: what the cells before it leave.
+
+    `end` is aggregated to one row per group and cell; only those rows meet in one window, so a group
+    of any size is dealt to many tasks."""
+    cells = df.withColumn("_cell", F.floor(F.col(order) / cell))
+    ends = cells.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_cell").alias("_c")).agg(end.alias("_end"))
+    w = Window.partitionBy(*[f"_g_{g}" for g in groups]).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", before(F.col("_end")).over(w)).drop("_end")
+    on = all_of([F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups] + [F.col("_cell").eqNullSafe(F.col("_c"))])
+    return cells.join(ends, on).drop("_c", *[f"_g_{g}" for g in groups])
+
+
+def running_total(df: DataFrame, groups: list[str], order: str, size: Column, name: str, cell: int = 4096) -> DataFrame:
+    """Add the sum of sizes of a group's rows up to each row in a whole-number order without ties."""
+    sized = df.withColumn("_size", size)
+    placed = _in_cells(sized, groups, order, cell, F.sum("_size"), F.sum)
+    w = Window.partitionBy(*groups, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn(name, F.coalesce("_before", F.lit(0)) + F.sum("_size").over(w)).drop("_cell", "_before", "_size")
+
+
+def previous_value(df: DataFrame, groups: list[str], order: str, value: str, name: str, cell: int = 4096) -> DataFrame:
+    """Add the value of the row before each row of its group in a whole-number order without ties."""
+    placed = _in_cells(df, groups, order, cell, F.max_by(value, order), lambda c: F.last(c))
+    w = Window.partitionBy(*groups, "_cell").orderBy(order)
+    first = F.row_number().over(w) == 1
+    return placed.withColumn(name, F.when(first, F.col("_before")).otherwise(F.lag(value).over(w))).drop("_cell", "_before")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a local one only where none is named."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir. Where none is named a local folder
+    serves a session of one process; on a cluster that is an error."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspan-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillspan-ckpt-"))
     return df.checkpoint()
 
 

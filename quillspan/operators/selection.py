@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import latest_by
+from .relational import latest_by, running_total
 
 
 def seeded_order(key: Column, seed: str) -> Column:
@@ -27,10 +27,9 @@ def label_cover(df: DataFrame, group: list[str], label: str, order: str, n: int)
     return ranked.orderBy("covers", order).limit(n).drop("covers")
 
 
-def prefix_budget(df: DataFrame, groups: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
-    """Rows of each group in order until the sum of sizes would first pass the budget."""
-    w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+def prefix_budget(df: DataFrame, groups: list[str], order: str, size: Column, budget: int) -> DataFrame:
+    """Rows of each group in a whole-number order until the sum of sizes would first pass the budget."""
+    return running_total(df, groups, order, size, "used").where(F.col("used") <= budget)
 
 
 def split_priority(df: DataFrame, split: str, ranks: dict[str, int], digest: Column, order: Column) -> DataFrame:

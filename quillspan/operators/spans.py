@@ -151,14 +151,18 @@ def align_mentions(text: Column, mentions: Column, labels: frozenset[str]) -> Co
     return align(text, mentions)
 
 
-def bio_encode(tokens: DataFrame, spans: DataFrame, doc: str = "doc_id") -> DataFrame:
+def bio_encode(tokens: DataFrame, spans: DataFrame, doc: str = "doc_id", outside: str = "O") -> DataFrame:
     """tokens (doc, pos, start, end) with a tag each, for flat spans (doc, s, e, label).
 
-    A token inside a span is B- if it starts with it, else I-; spans that do not begin and end with
-    tokens must be left out before (see boundary_issues)."""
-    inside = (tokens[doc] == spans[doc]) & (tokens["start"] >= spans["s"]) & (tokens["end"] <= spans["e"])
-    tag = F.when(F.col("label").isNull(), "O").when(F.col("start") == F.col("s"), F.concat(F.lit("B-"), F.col("label"))).otherwise(F.concat(F.lit("I-"), F.col("label")))
-    return tokens.join(spans, inside, "left").select(tokens[doc], "pos", "start", "end", tag.alias("tag"))
+    A token inside a span is B- if it starts with it, else I-, else `outside`; spans that do not begin and
+    end with tokens must be left out before (see boundary_issues). Tokens meet spans by document and cell
+    of their range, so a long document is no one group."""
+    own = tokens.select(doc, "pos", F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    marks = spans.select(doc, F.col("s").alias("b_start"), F.col("e").alias("b_end"), "label")
+    inside = overlapping(own, marks, doc).where("a_start >= b_start AND a_end <= b_end")
+    tag = F.concat(F.when(F.col("a_start") == F.col("b_start"), "B-").otherwise("I-"), F.col("label"))
+    tagged = inside.select(doc, "pos", tag.alias("tag"))
+    return tokens.join(tagged, [doc, "pos"], "left").select(doc, "pos", "start", "end", F.coalesce("tag", F.lit(outside)).alias("tag"))
 
 
 def boundary_issues(tokens: DataFrame, spans: DataFrame, doc: str = "doc_id") -> DataFrame:

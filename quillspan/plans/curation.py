@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunks, match_key
 from ..operators.language_gate import Gate, assess
-from ..operators.relational import latest_by
+from ..operators.relational import latest_by, previous_value
 from ..operators.selection import label_cover, prefix_budget, seeded_sample, split_priority
 from ..registry import query
 from .views import Views
@@ -120,23 +120,31 @@ def tk07_fewshot_label_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, source, used FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 20000""")
 def tk09_prompt_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = Views(spark, sf_dir).table("documents").select("doc_id", "source", "n_chars")
-    return prefix_budget(docs, ["source"], [F.col("doc_id")], F.col("n_chars"), 20_000).select("doc_id", "source", "used")
+    return prefix_budget(docs, ["source"], "doc_id", F.col("n_chars"), 20_000).select("doc_id", "source", "used")
 
 
-@query("""SELECT lang, count(*) AS documents, sum(n_chars)::BIGINT AS characters, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS checksum FROM documents GROUP BY lang""")
+@query("""SELECT lang, count(*) AS documents, sum(n_chars)::BIGINT AS characters, printf('%015x', bit_xor(h)) || ':' || sum(h)::HUGEINT AS checksum
+FROM (SELECT lang, n_chars, ('0x' || substring(sha256(doc_id || ':' || text), 1, 15))::BIGINT AS h FROM documents) GROUP BY lang""")
 def ds08_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Views(spark, sf_dir).table("documents").select("lang", "doc_id", "n_chars", F.sha2("text", 256).alias("sha"))
-    hashes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "sha"))), lambda x: x["sha"]), "")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("characters"), F.sha2(hashes, 256).alias("checksum"))
+    """Counts and a checksum of each part: exclusive or and sum of 60-bit hashes of its rows.
 
+    It does not depend on the order of rows, so it is summed up before the shuffle like a count."""
+    h = F.conv(F.substring(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text"), 256), 1, 15), 16, 10).cast("long")
+    docs = Views(spark, sf_dir).table("documents").select("lang", "n_chars", h.alias("h"))
+    checksum = F.concat(F.lower(F.lpad(F.hex(F.bit_xor("h")), 15, "0")), F.lit(":"), F.sum(F.col("h").cast("decimal(28,0)")).cast("string"))
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("characters"), checksum.alias("checksum"))
 
-@query("""SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 0 AND sha256(d.text) IN (SELECT sha256(text) FROM documents WHERE n_chars > 100)""")
+
+@query("""SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) JOIN (SELECT doc_id, sha256(text || CASE WHEN doc_id % 3 = 0 THEN '.' ELSE '' END) AS sha FROM documents WHERE n_chars > 100) p ON p.doc_id = d.doc_id AND p.sha = sha256(d.text) WHERE l.toxic = 0""")
 def ds09_inherit_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earlier predictions are taken over where id and checksum are equal and there was no error."""
+    """Earlier predictions are taken over where id and checksum are equal and there was no error.
+
+    The earlier run saw another text of every third document; those are refused."""
     v = Views(spark, sf_dir)
     now = v.table("documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    parents = v.table("documents").where("n_chars > 100").select(F.sha2("text", 256).alias("sha")).distinct()
-    return now.join(parents, "sha", "left_semi").join(v.table("labels").where("toxic = 0"), "doc_id").select("doc_id", "quality")
+    seen = F.concat("text", F.when(F.col("doc_id") % 3 == 0, ".").otherwise(""))
+    parents = v.table("documents").where("n_chars > 100").select("doc_id", F.sha2(seen, 256).alias("sha"))
+    return now.join(parents, ["doc_id", "sha"], "left_semi").join(v.table("labels").where("toxic = 0"), "doc_id").select("doc_id", "quality")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -160,27 +168,31 @@ def _word(words: str) -> str:
 
 
 _CASCADE = [("lexicon", 0.98, _word("the|und|les|los")), ("context", 0.92, _word("with|mit|avec|con")), ("named", 0.95, _word("license|licensed")), ("lexical", 0.88, _word("of|der|la|el"))]
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Views(spark, sf_dir).table("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+
+
 _CLAUSE = _word("is|that|die|que")
-_HEAD = r"lower(string_split(text, chr(10))[1])"
+_LINES = "(SELECT doc_id, unnest(range(len(a)))::INT AS pos, lower(unnest(a)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))"
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches({_HEAD}, '{p}') THEN '{n}'" for n, _, p in _CASCADE) + " ELSE 'default' END AS rule, CASE " + " ".join(f"WHEN regexp_matches({_HEAD}, '{p}') THEN {c}" for _, c, p in _CASCADE) + " ELSE 0.5 END::DOUBLE AS confidence FROM documents")
+@query("SELECT doc_id, pos, CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, _, p in _CASCADE) + " ELSE 'default' END AS rule, CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN {c}" for _, c, p in _CASCADE) + " ELSE 0.5 END::DOUBLE AS confidence FROM " + _LINES)
 def ds02_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule of an ordered cascade that fits the first line, and its confidence."""
-    head = F.lower(F.element_at(F.split("text", "\n"), 1))
+    """For every line the first rule of an ordered cascade that fits it, and its confidence."""
+    head = F.lower("line")
     rule, confidence = F.lit("default"), F.lit(0.5)
     for name, value, pattern in reversed(_CASCADE):
         rule, confidence = F.when(head.rlike(pattern), name).otherwise(rule), F.when(head.rlike(pattern), value).otherwise(confidence)
-    return Views(spark, sf_dir).table("documents").select("doc_id", rule.alias("rule"), confidence.alias("confidence"))
+    return _lines(spark, sf_dir).select("doc_id", "pos", rule.alias("rule"), confidence.alias("confidence"))
 
 
-@query(rf"""SELECT doc_id, list_filter([CASE WHEN n > 12 THEN 'LONG' END, CASE WHEN n >= 5 AND clause THEN 'CLAUSE' END], lambda x: x IS NOT NULL) AS flags
-FROM (SELECT doc_id, len(regexp_extract_all(l, '[\p{{L}}\p{{N}}_]+')) AS n, regexp_matches(l, '{_CLAUSE}') AS clause FROM (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS l FROM documents)) WHERE n > 12 OR n >= 5 AND clause""")
+@query(rf"""SELECT doc_id, pos, list_filter([CASE WHEN n > 12 THEN 'LONG' END, CASE WHEN n >= 5 AND clause THEN 'CLAUSE' END], lambda x: x IS NOT NULL) AS flags
+FROM (SELECT doc_id, pos, len(regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+')) AS n, regexp_matches(line, '{_CLAUSE}') AS clause FROM {_LINES}) WHERE n > 12 OR n >= 5 AND clause""")
 def ds03_audit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.lower(F.element_at(F.split("text", "\n"), 1))
-    docs = Views(spark, sf_dir).table("documents").select("doc_id", F.regexp_count(head, F.lit(r"[\p{L}\p{N}_]+")).alias("n"), head.rlike(_CLAUSE).alias("clause"))
+    head = F.lower("line")
+    docs = _lines(spark, sf_dir).select("doc_id", "pos", F.regexp_count(head, F.lit(r"[\p{L}\p{N}_]+")).alias("n"), head.rlike(_CLAUSE).alias("clause"))
     flags = F.filter(F.array(F.when(F.col("n") > 12, "LONG"), F.when((F.col("n") >= 5) & F.col("clause"), "CLAUSE")), lambda x: x.isNotNull())
-    return docs.select("doc_id", flags.alias("flags")).where(F.size("flags") > 0)
+    return docs.select("doc_id", "pos", flags.alias("flags")).where(F.size("flags") > 0)
 
 
 @query("""SELECT s.source, p.split, count_if(s.lang = 'en') AS en, count_if(s.lang = 'fr') AS fr, count_if(s.lang = 'de') AS de, count_if(s.lang = 'es') AS es FROM documents s JOIN splits p USING (doc_id) GROUP BY ALL""")
@@ -262,7 +274,7 @@ def ag09_counts_and_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, event_type, n, n - lag(n) OVER (PARTITION BY event_type ORDER BY user_id) AS delta FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)""")
 def wn12_round_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = Views(spark, sf_dir).table("events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("delta", F.col("n") - F.lag("n").over(Window.partitionBy("event_type").orderBy("user_id")))
+    return previous_value(counts, ["event_type"], "user_id", "n", "before").withColumn("delta", F.col("n") - F.col("before")).drop("before")
 
 
 @query("""SELECT doc_id, pos, starts, length(line) AS n FROM (SELECT doc_id, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS starts

@@ -106,9 +106,9 @@ def ev13_metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivoted.select("label", F.col("O").alias("before"), F.col("F").alias("after"), (F.col("F") - F.col("O")).alias("delta"))
 
 
-@query("""SELECT role, string_agg(turn || ': ' || substring(text, 1, 20), ' | ' ORDER BY turn) AS prompt, conv_id FROM conversations GROUP BY conv_id, role""")
+@query("""SELECT role, string_agg(turn || ': ' || text, ' | ' ORDER BY turn) AS prompt, conv_id FROM conversations GROUP BY conv_id, role""")
 def mx35_prompt_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.col("turn"), F.lit(": "), F.substring("text", 1, 20))
+    line = F.concat(F.col("turn"), F.lit(": "), "text")
     grouped = Views(spark, sf_dir).table("conversations").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
     return grouped.select("role", F.array_join(F.transform("l", lambda x: x["line"]), " | ").alias("prompt"), "conv_id")
 
@@ -130,7 +130,8 @@ def ag08_nested_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy("system", "error", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT line, page_sets FROM (SELECT string_split(text, chr(10))[1] AS line, count(DISTINCT doc_id) AS page_sets FROM documents GROUP BY ALL) WHERE page_sets >= 2""")
+@query("""SELECT line, count(DISTINCT doc_id) AS page_sets FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line HAVING count(DISTINCT doc_id) >= 2""")
 def ag16_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = Views(spark, sf_dir).table("documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("line"))
-    return first.groupBy("line").agg(F.count_distinct("doc_id").alias("page_sets")).where("page_sets >= 2")
+    """Lines of several documents; repeats within one go before the shuffle."""
+    lines = Views(spark, sf_dir).table("documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
+    return lines.groupBy("line").agg(F.count_distinct("doc_id").alias("page_sets")).where("page_sets >= 2")

@@ -57,11 +57,11 @@ def q07_articles_already_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.assignments.join(open_, "session_id", "left_semi").select("article_id").distinct()
 
 
-@query("""SELECT s.id, s.name, s.status, count(DISTINCT x.article_id) AS documents, count(DISTINCT x.expert_id) AS experts,
-  count(DISTINCT r.document_id || ':' || r.expert_id) AS reviewed, count(DISTINCT j.document_id) AS adjudicated,
-  greatest(count(DISTINCT x.article_id) * 2 - count(DISTINCT r.document_id || ':' || r.expert_id), 0) AS remaining
-FROM sessions s LEFT JOIN assignments x ON x.session_id = s.id LEFT JOIN reviews r ON r.session_id = s.id LEFT JOIN adjudications j ON j.session_id = s.id
-GROUP BY s.id, s.name, s.status""")
+@query("""SELECT s.id, s.name, s.status, coalesce(documents, 0) AS documents, coalesce(experts, 0) AS experts, coalesce(reviewed, 0) AS reviewed, coalesce(adjudicated, 0) AS adjudicated,
+  greatest(coalesce(documents, 0) * 2 - coalesce(reviewed, 0), 0) AS remaining
+FROM sessions s LEFT JOIN (SELECT session_id, count(DISTINCT article_id) AS documents, count(DISTINCT expert_id) AS experts FROM assignments GROUP BY ALL) x ON x.session_id = s.id
+LEFT JOIN (SELECT session_id, count(DISTINCT (document_id, expert_id)) AS reviewed FROM reviews GROUP BY ALL) r ON r.session_id = s.id
+LEFT JOIN (SELECT session_id, count(DISTINCT document_id) AS adjudicated FROM adjudications GROUP BY ALL) j ON j.session_id = s.id""")
 def q08_session_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each branch is aggregated before it is joined, so rows do not fan out."""
     v = Views(spark, sf_dir)

@@ -22,25 +22,32 @@ def fn01_match_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.match_key(F.col("text")).alias("match_key"))
 
 
-@query(r"SELECT doc_id, array_to_string(regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+'), ' ') AS match_key FROM documents WHERE NOT contains(text, 'ß')")
+#: Lower case as case folding gives it: sharp s becomes ss.
+_FOLD = "replace(lower(nfc_normalize(%s)), 'ß', 'ss')"
+
+
+@query(rf"SELECT doc_id, array_to_string(regexp_extract_all({_FOLD % 'text'}, '[\p{{L}}\p{{N}}]+'), ' ') AS match_key FROM documents")
 def fn01_normalize_match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The general path; sharp s folds to ss, which SQL's lower() does not do, so the oracle leaves it out."""
-    return _docs(spark, sf_dir).where("NOT contains(text, 'ß')").select("doc_id", text.normalize_match_text(F.col("text")).alias("match_key"))
+    """The general path: normal form and case folding, sharp s too."""
+    return _docs(spark, sf_dir).select("doc_id", text.normalize_match_text(F.col("text")).alias("match_key"))
 
 
-@query(r"SELECT doc_id, strip_accents(replace(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' '), 'đ', 'd')) AS plain FROM documents WHERE NOT contains(text, 'ß')")
+@query(rf"SELECT doc_id, strip_accents(replace(array_to_string(regexp_extract_all({_FOLD % 'text'}, '[\p{{L}}\p{{N}}]+'), ' '), 'đ', 'd')) AS plain FROM documents")
 def fn02_strip_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("NOT contains(text, 'ß')").select("doc_id", text.strip_diacritics(F.col("text")).alias("plain"))
+    return _docs(spark, sf_dir).select("doc_id", text.strip_diacritics(F.col("text")).alias("plain"))
 
 
-@query()
+@query(rf"""SELECT doc_id, pos, array_to_string(regexp_extract_all(regexp_replace(strip_accents(replace({_FOLD % "line"}, 'đ', 'd')), '^([0-9]+([.][0-9]+)*[.]?|([ivxlcdm]+|[a-z])[.])\s+', ''), '[a-z0-9]+'), ' ') AS heading_key
+FROM (SELECT doc_id, unnest(range(len(a)))::INT AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))""")
 def fn03_normalize_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", text.normalize_heading(F.element_at(F.split("text", "\n"), 1)).alias("heading_key"))
+    """Every line as a heading."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.select("doc_id", "pos", text.normalize_heading(F.col("line")).alias("heading_key"))
 
 
-@query(r"SELECT doc_id, array_to_string(regexp_extract_all(strip_accents(replace(lower(string_split(text, chr(10))[1]), 'đ', 'd')), '[a-z0-9]+'), '-') AS slug FROM documents WHERE NOT contains(text, 'ß')")
+@query(rf"SELECT doc_id, array_to_string(regexp_extract_all(strip_accents(replace({_FOLD % 'text'}, 'đ', 'd')), '[a-z0-9]+'), '-') AS slug FROM documents")
 def fn04_slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("NOT contains(text, 'ß')").select("doc_id", text.slugify(F.element_at(F.split("text", "\n"), 1)).alias("slug"))
+    return _docs(spark, sf_dir).select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(replace(html, chr(160), ' '), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS clean FROM pages")
@@ -54,7 +61,13 @@ def _nested(sql: str, moves: list[tuple[str, str]]) -> str:
     return sql
 
 
-@query(f"SELECT doc_id, {_nested('text', text.tone_moves())} AS moved FROM documents")
+#: Spellings with the tone on the first vowel and on the second one.
+_TONES = "òa oà óa oá ỏa oả õa oã ọa oạ òe oè óe oé ỏe oẻ õe oẽ ọe oẹ ùy uỳ úy uý ủy uỷ ũy uỹ ụy uỵ ùa uà úa uá ủa uả ũa uã ụa uạ".split()
+_LOWER = list(zip(_TONES[::2], _TONES[1::2], strict=True))
+_MOVES = _LOWER + [(a.upper(), b.upper()) for a, b in _LOWER] + [(a.capitalize(), b.capitalize()) for a, b in _LOWER]
+
+
+@query(f"SELECT doc_id, {_nested('text', _MOVES)} AS moved FROM documents")
 def fn06_tone_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.move_tones(F.col("text")).alias("moved"))
 
@@ -123,11 +136,13 @@ def fn19_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(text.occurrences(F.col("text"), F.lit("tion"))).alias("start")).select("doc_id", F.col("start").cast("long").alias("start"))
 
 
-@query("""SELECT doc_id, substring(text, greatest(s - 50, 0) + 1, least(s + 5 + 50, length(text)) - greatest(s - 50, 0)) AS context
-FROM (SELECT doc_id, text, strpos(text, 'tion') - 1 AS s FROM documents) WHERE s >= 0""")
+@query("""SELECT doc_id, s, substring(text, greatest(s - 50, 0) + 1, least(s + 5 + 50, length(text)) - greatest(s - 50, 0)) AS context
+FROM (SELECT doc_id, text, unnest(list_filter(range(length(text)), lambda i: text[i + 1:i + 4] = 'tion')) AS s FROM documents WHERE contains(text, 'tion'))""")
 def fn20_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).withColumn("s", F.instr("text", "tion") - 1).where("s >= 0")
-    return docs.select("doc_id", text.context(F.col("text"), F.col("s"), F.col("s") + 5, 50).alias("context"))
+    """Fifty characters on both sides of every hit; pieces between hits give their places."""
+    docs = _docs(spark, sf_dir).where("contains(text, 'tion')")
+    hits = docs.select("doc_id", "text", F.explode(text.separate_hits(F.col("text"), "tion")).alias("s"))
+    return hits.select("doc_id", F.col("s").cast("long").alias("s"), text.context(F.col("text"), F.col("s"), F.col("s") + 5, 50).alias("context"))
 
 
 @query("""SELECT page_id, lower(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '')) AS host,
@@ -226,9 +241,9 @@ def tokens_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Views(spark, sf_dir).tokens.withColumn("next_token", F.lead("token").over(w))
 
 
-@query("""WITH n AS (SELECT count(*)::DOUBLE AS total FROM tokens), u AS (SELECT token, count(*)::DOUBLE AS c FROM tokens GROUP BY token),
-b AS (SELECT token AS x, nxt AS y, count(*)::DOUBLE AS c FROM (SELECT token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM tokens) WHERE nxt IS NOT NULL GROUP BY ALL)
-SELECT b.x, b.y, b.c::BIGINT AS n, log2(b.c * n.total / (u.c * v.c)) AS pmi FROM b JOIN u ON u.token = b.x JOIN u v ON v.token = b.y, n WHERE b.c >= 3""")
+@query(r"""WITH w AS MATERIALIZED (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS a FROM documents), u AS MATERIALIZED (SELECT token, count(*)::DOUBLE AS c FROM (SELECT unnest(a) AS token FROM w) GROUP BY token),
+b AS MATERIALIZED (SELECT x, y, count(*) AS n FROM (SELECT unnest(a[1:len(a) - 1]) AS x, unnest(a[2:]) AS y FROM w WHERE len(a) > 1) GROUP BY ALL HAVING count(*) >= 3)
+SELECT b.x, b.y, b.n, log2(b.n * (SELECT sum(c) FROM u) / (u.c * v.c)) AS pmi FROM b JOIN u ON u.token = b.x JOIN u v ON v.token = b.y""")
 def bigram_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pointwise mutual information of neighbours seen three times or more.
 

@@ -97,13 +97,13 @@ class Views:
         words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
         return self.table("documents").select("doc_id", F.posexplode(words).alias("pos", "token"))
 
-    def lexicon(self, low: int = 5, high: int = 50) -> DataFrame:
-        """key, df and label of the tokens that low to high documents hold, as a dictionary of terms.
+    def lexicon(self, low: int = 5) -> DataFrame:
+        """key, df and label of the tokens that `low` documents hold or more, as a dictionary of terms.
 
         Repeats inside a document go before the shuffle, so a frequent token costs one row a document."""
         words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
         tokens = self.table("documents").select(F.explode(words).alias("key")).where("length(key) >= 6")
-        counted = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(low, high))
+        counted = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= low)
         return counted.withColumn("label", term_label(F.col("key")))
 
     @property
@@ -114,7 +114,7 @@ class Views:
     @property
     def predicted(self) -> DataFrame:
         """Spans of another system: a wider lexicon, other labels for some terms, some spans too long."""
-        terms = self.lexicon(5, 60).select(F.col("key").alias("token"), "label")
+        terms = self.lexicon(3).select(F.col("key").alias("token"), "label")
         label = F.when(F.col("token").endswith("n"), "CAUSE").otherwise(F.col("label"))
         end = F.col("pos") + F.when(F.length("token") % 5 == 0, 2).otherwise(1)
         return self.tokens.join(terms, "token").select("doc_id", F.col("pos").alias("s"), end.alias("e"), label.alias("label"))
@@ -124,7 +124,7 @@ def term_label(key):
     return F.element_at(F.array(F.lit("DISEASE"), F.lit("SYMPTOM"), F.lit("TREATMENT")), F.length(key) % 3 + 1)
 
 
-_LEXICON = "SELECT token AS key, count(DISTINCT doc_id) AS df, ['DISEASE', 'SYMPTOM', 'TREATMENT'][length(token) % 3 + 1] AS label FROM tokens WHERE length(token) >= 6 GROUP BY token HAVING count(DISTINCT doc_id) BETWEEN 5 AND "
+_LEXICON = "SELECT token AS key, count(DISTINCT doc_id) AS df, ['DISEASE', 'SYMPTOM', 'TREATMENT'][length(token) % 3 + 1] AS label FROM tokens WHERE length(token) >= 6 GROUP BY token HAVING count(DISTINCT doc_id) >= "
 
 SQL = {
     "articles": "SELECT doc_id AS id, substring(text, 1, 80) AS title, text AS abstract, source, lang, (2000 + doc_id % 25)::INT AS year FROM documents",
@@ -140,8 +140,8 @@ SQL = {
     "qa": "SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'",
     "splits": "SELECT doc_id, text, lang, CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END AS split FROM documents",
     "tokens": r"SELECT doc_id, (unnest(range(len(a))))::INT AS pos, unnest(a) AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS a FROM documents)",
-    "lexicon": _LEXICON + "50",
-    "wide_lexicon": _LEXICON + "60",
+    "lexicon": _LEXICON + "5",
+    "wide_lexicon": _LEXICON + "3",
     "gold": "SELECT t.doc_id, t.pos AS s, t.pos + 1 AS e, l.label FROM tokens t JOIN lexicon l ON l.key = t.token",
     "predicted": "SELECT t.doc_id, t.pos AS s, t.pos + CASE WHEN length(t.token) % 5 = 0 THEN 2 ELSE 1 END AS e, CASE WHEN t.token LIKE '%n' THEN 'CAUSE' ELSE l.label END AS label FROM tokens t JOIN wide_lexicon l ON l.key = t.token",
 }

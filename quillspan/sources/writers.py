@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relational import running_total
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object a line; the committer makes the whole write appear at once."""
@@ -22,10 +24,10 @@ def bio_lines(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def line_index(texts: DataFrame, order: str, parts: str = "part") -> DataFrame:
-    """Add start_line and end_line (from 1) of each text in a file that holds all of a part in order."""
+    """Add start_line and end_line (from 1) of each text in a file that holds all of a part in a
+    whole-number order."""
     lines = F.size(F.split("text", "\n", -1)) - 1
-    w = Window.partitionBy(parts).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = texts.withColumn("_n", lines).withColumn("end_line", F.sum("_n").over(w))
+    out = running_total(texts.withColumn("_n", lines), [parts], order, F.col("_n"), "end_line")
     return out.withColumn("start_line", F.col("end_line") - F.col("_n") + 1).drop("_n")
 
 
