@@ -115,42 +115,6 @@ def sentence_ranges(text: Column) -> Column:
     return ranges(text)
 
 
-def align_list(text: str, mentions: list[dict], labels: frozenset[str]) -> list[dict]:
-    """Mentions placed in the text: each takes the next hit of its surface and label.
-
-    status is OK, INVALID_LABEL, NON_VERBATIM (no hit left) or TOKEN_BOUNDARY (a hit inside a token)."""
-    low, cursors, out = text.casefold(), {}, []
-    starts = {m.start() for m in re.finditer(r"\w+(?:[-+]\w+)*|[^\w\s]", text)}
-    ends = {m.end() for m in re.finditer(r"\w+(?:[-+]\w+)*|[^\w\s]", text)}
-    for m in mentions:
-        surface, label = (m["text"] or "").strip(), (m["label"] or "").strip().upper()
-        start = end = None
-        status = "INVALID_LABEL"
-        if label in labels:
-            key = surface.casefold(), label
-            at = low.find(surface.casefold(), cursors.get(key, 0)) if surface else -1
-            status = "NON_VERBATIM"
-            if at >= 0 and text[at : at + len(surface)].casefold() == surface.casefold():
-                start, end = at, at + len(surface)
-                status = "OK" if start in starts and end in ends else "TOKEN_BOUNDARY"
-                if status == "OK":
-                    cursors[key] = end
-        out.append({"text": surface, "label": label, "start": start, "end": end, "status": status})
-    return out
-
-
-def align_mentions(text: Column, mentions: Column, labels: frozenset[str]) -> Column:
-    """align_list over array<struct<text, label>> columns."""
-
-    @F.arrow_udf("array<struct<text:string,label:string,start:int,end:int,status:string>>")
-    def align(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("status", pa.string())]))
-        for texts, lists in batches:
-            yield pa.array([align_list(t or "", m or [], labels) for t, m in zip(texts.to_pylist(), lists.to_pylist(), strict=True)], kind)
-
-    return align(text, mentions)
-
-
 def bio_encode(tokens: DataFrame, spans: DataFrame, doc: str = "doc_id", outside: str = "O") -> DataFrame:
     """tokens (doc, pos, start, end) with a tag each, for flat spans (doc, s, e, label).
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import fuzzy, matching, overlay, spans
+from ..operators import alignment, fuzzy, matching, overlay, spans
 from ..operators.relational import latest_by
 from ..operators.sections import classify_sections
 from ..registry import query
@@ -316,11 +316,8 @@ def fn17_sentence_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nr17_align_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions without offsets placed in their documents: each document's lexicon terms in order."""
     v = Views(spark, sf_dir)
-    found = v.tokens.join(v.lexicon().select(F.col("key").alias("token"), "label"), "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("token").alias("text"), "label"))).alias("m"))
-    mentions = found.select("doc_id", F.transform("m", lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("mentions"))
-    docs = v.table("documents").select("doc_id", "text").join(mentions, "doc_id")
-    aligned = spans.align_mentions(F.col("text"), F.col("mentions"), frozenset({"DISEASE", "SYMPTOM", "TREATMENT"}))
-    return docs.select("doc_id", F.explode(aligned).alias("x")).select("doc_id", "x.*")
+    mentions = v.tokens.join(v.lexicon().select(F.col("key").alias("token"), "label"), "token").select("doc_id", F.col("pos").alias("ord"), F.col("token").alias("text"), "label")
+    return alignment.align(v.table("documents").select("doc_id", "text"), mentions, ("DISEASE", "SYMPTOM", "TREATMENT"))
 
 
 @query()

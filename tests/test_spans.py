@@ -43,13 +43,6 @@ def test_tokens_keep_marks_together():
     assert [text[t["start"] : t["end"]] for t in spans.tokens_of(text)] == [t["word"] for t in spans.tokens_of(text)]
 
 
-def test_alignment():
-    labels = frozenset({"SYMPTOM"})
-    got = spans.align_list("Sốt giảm rồi sốt trở lại.", [{"text": "sốt", "label": "SYMPTOM"}] * 3 + [{"text": "ho", "label": "X"}], labels)
-    assert [(g["start"], g["end"], g["status"]) for g in got] == [(0, 3, "OK"), (13, 16, "OK"), (None, None, "NON_VERBATIM"), (None, None, "INVALID_LABEL")]
-    assert spans.align_list("viêm phổi", [{"text": "phổ", "label": "symptom"}], labels)[0]["status"] == "TOKEN_BOUNDARY"
-
-
 def test_sentences():
     text = "One. Two!\n\nThree 3.5 x"
     assert [text[s["start"] : s["end"]] for s in spans.sentences_of(text)] == ["One.", "Two!", "Three 3.5 x"]
