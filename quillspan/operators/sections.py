@@ -10,6 +10,7 @@ from ..functions.text import heading_key_of, normalize_heading
 #: Canonical type, its parents, and its headings, in order of precedence.
 ONTOLOGY = (
     ("ABSTRACT", (), ("tóm tắt", "abstract", "summary")),
+    ("GRAPHICAL_ABSTRACT", (), ("graphical abstract",)),
     ("KEYWORDS", (), ("từ khóa", "keywords", "key words")),
     ("INTRODUCTION", (), ("đặt vấn đề", "mở đầu", "giới thiệu", "introduction")),
     ("BACKGROUND", ("INTRODUCTION",), ("bối cảnh", "background")),
@@ -19,17 +20,29 @@ ONTOLOGY = (
     ("INCLUSION_CRITERIA", ("STUDY_POPULATION", "METHODS"), ("tiêu chuẩn lựa chọn", "inclusion criteria")),
     ("EXCLUSION_CRITERIA", ("STUDY_POPULATION", "METHODS"), ("tiêu chuẩn loại trừ", "exclusion criteria")),
     ("STUDY_DESIGN", ("METHODS",), ("thiết kế nghiên cứu", "study design")),
+    ("STUDY_TIME", ("METHODS",), ("thời gian nghiên cứu", "study period", "study time")),
+    ("STUDY_LOCATION", ("METHODS",), ("địa điểm nghiên cứu", "study setting", "study location")),
     ("SAMPLE_SIZE", ("METHODS",), ("cỡ mẫu", "sample size")),
+    ("SAMPLING", ("METHODS",), ("phương pháp chọn mẫu", "sampling")),
+    ("DATA_COLLECTION", ("METHODS",), ("thu thập số liệu", "data collection")),
     ("STATISTICAL_ANALYSIS", ("METHODS",), ("xử lý số liệu", "phân tích số liệu", "statistical analysis", "data analysis")),
     ("ETHICS", ("METHODS",), ("đạo đức nghiên cứu", "ethics approval", "ethical approval")),
     ("RESULTS", (), ("kết quả", "kết quả nghiên cứu", "results")),
+    ("PARTICIPANT_CHARACTERISTICS", ("RESULTS",), ("đặc điểm chung", "đặc điểm đối tượng", "participant characteristics")),
     ("DISCUSSION", (), ("bàn luận", "discussion")),
     ("RESULTS_DISCUSSION", (), ("kết quả và bàn luận", "results and discussion")),
     ("CONCLUSION", (), ("kết luận", "conclusion", "conclusions")),
     ("RECOMMENDATION", (), ("khuyến nghị", "kien nghi", "recommendation", "recommendations")),
+    ("ACKNOWLEDGEMENT", (), ("lời cảm ơn", "acknowledgement", "acknowledgment", "acknowledgements", "acknowledgments")),
     ("FUNDING", (), ("kinh phí", "funding")),
-    ("CONFLICT_OF_INTEREST", (), ("xung đột lợi ích", "conflict of interest", "competing interests")),
+    ("CONFLICT_OF_INTEREST", (), ("xung đột lợi ích", "conflict of interest", "conflict of interest statement", "competing interests")),
+    ("DATA_AVAILABILITY", (), ("data availability", "availability of data and materials")),
+    ("AUTHOR_CONTRIBUTIONS", (), ("author contributions", "credit authorship contribution statement")),
+    ("SUPPLEMENTARY_DATA", (), ("supplementary data",)),
     ("REFERENCES", (), ("tài liệu tham khảo", "references", "bibliography")),
+    ("THE_MONARCH_APPLICATION", (), ("the monarch application",)),
+    ("ANALYSIS_TOOLS_POWERED_BY_MONARCH", (), ("analysis tools powered by monarch", "analysis tools power by monarch")),
+    ("COMMUNITY_ENGAGEMENT", (), ("community engagement",)),
 )
 
 

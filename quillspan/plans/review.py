@@ -400,11 +400,12 @@ def tk02_page_slice_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(Views(spark, sf_dir).articles.where("lang = 'en'").select("id", "title"), [F.col("id")], 3, 20)
 
 
-@query("SELECT s.id AS session_id, r.id AS role_id FROM sessions s CROSS JOIN (SELECT unnest(range(3)) AS id) r")
+@query("SELECT s.session_id, s.article_id, r.r_regionkey AS expert_id FROM (SELECT DISTINCT session_id, article_id FROM assignments) s CROSS JOIN region r")
 def snk09_assignment_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions times three fixed roles; the second side is three literal rows."""
-    roles = F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("role_id")
-    return Views(spark, sf_dir).sessions.select(F.col("id").alias("session_id"), roles)
+    """Every article of a session for every expert of a panel: the product is what is stored."""
+    v = Views(spark, sf_dir)
+    panel = v.table("region").select(F.col("r_regionkey").alias("expert_id"))
+    return v.assignments.select("session_id", "article_id").distinct().join(panel)
 
 
 @query("""WITH u AS (SELECT id AS article_id, max(id) AS version FROM articles WHERE lang <> 'en' GROUP BY id)

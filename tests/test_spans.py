@@ -7,7 +7,7 @@ from random import Random
 from pyspark.sql import functions as F
 from quillspan.functions.text import heading_key_of, match_key_of, move_tones, normalize_match_text, similarity, slug_of, strip_marks_of
 from quillspan.operators import matching, spans
-from quillspan.operators.sections import classify_sections
+from quillspan.operators.sections import ONTOLOGY, classify_sections
 
 
 def span(s, e, label="SYMPTOM", rank=0):
@@ -113,3 +113,10 @@ def test_sections(spark):
     df = spark.createDataFrame([("ĐẶT VẤN ĐỀ",), ("Tiêu chuẩn lựa chọn",), ("2. Methods",), ("foo bar",), ("",)], "h string")
     got = {r.h: (r.canonical_type, r.confidence) for r in classify_sections(df, "h").collect()}
     assert got == {"ĐẶT VẤN ĐỀ": ("INTRODUCTION", 0.99), "Tiêu chuẩn lựa chọn": ("INCLUSION_CRITERIA", 0.91), "2. Methods": ("METHODS", 0.99), "foo bar": ("OTHER", 0.35), "": ("UNKNOWN", 0.0)}
+
+
+def test_section_types_are_complete(spark):
+    assert len(ONTOLOGY) == 34 and len({k for k, _, _ in ONTOLOGY}) == 34
+    df = spark.createDataFrame([("Thời gian nghiên cứu", "METHODS"), ("Acknowledgments", ""), ("3. Data availability", ""), ("LỜI CẢM ƠN", "")], "h string, p string")
+    got = {r.h: (r.canonical_type, r.confidence) for r in classify_sections(df, "h", "p").collect()}
+    assert got == {"Thời gian nghiên cứu": ("STUDY_TIME", 0.99), "Acknowledgments": ("ACKNOWLEDGEMENT", 0.99), "3. Data availability": ("DATA_AVAILABILITY", 0.99), "LỜI CẢM ƠN": ("ACKNOWLEDGEMENT", 0.99)}
