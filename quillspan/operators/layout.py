@@ -112,9 +112,9 @@ def section_bounds(heads: DataFrame, lengths: DataFrame) -> DataFrame:
 def section_parents(heads: DataFrame) -> DataFrame:
     """Add parent_position: the last heading above with a smaller level, null at the top.
 
-    level is 1 or more; one running value per level is carried down, so no stack is needed."""
+    level is 1 or more; one running value per level that occurs is carried down, so no stack is needed."""
     w = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    levels = range(1, 9)
+    levels = [r[0] for r in heads.where("level IS NOT NULL").select("level").distinct().orderBy("level").collect()] or [1]
     last = {k: F.last(F.when(F.col("level") == k, F.col("position")), ignorenulls=True).over(w) for k in levels}
     out = heads.withColumns({f"_l{k}": c for k, c in last.items()})
     above = F.array(*[F.when(F.col("level") > k, F.col(f"_l{k}")) for k in levels])
