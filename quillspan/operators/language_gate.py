@@ -25,14 +25,13 @@ class Gate:
     min_other: float = 0.65
 
 
-def signals(chunk: Column, gate: Gate, p_target: Column, p_other: Column) -> tuple[Column, Column]:
-    """Evidence of both languages in one chunk, given a model's probabilities.
+def signals(low: Column, words: Column, gate: Gate, p_target: Column, p_other: Column) -> tuple[Column, Column]:
+    """Evidence of both languages in one chunk in lower case with its runs of letters, given a model's
+    probabilities.
 
     Marks add up to 0.28 and marker words up to 0.24, so neither decides alone."""
-    low = F.lower(chunk)
-    letters = F.length(F.regexp_replace(low, r"[^\p{L}]", ""))
-    marks = F.length(F.regexp_replace(low, f"[^{gate.marks}]", ""))
-    words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"([\p{L}]+)"), F.lit(1)))
+    letters = F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
+    marks = F.length(low) - F.length(F.translate(low, gate.marks, ""))
     known = lambda ws: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in ws]).cast("array<string>")))
     marked = F.least(F.lit(0.28), marks / F.greatest(letters, F.lit(1)) * 4.0)
     target = F.least(F.lit(1.0), p_target * 0.72 + marked + F.least(F.lit(0.24), known(gate.words) * 0.035))
@@ -50,11 +49,14 @@ def assess(df: DataFrame, gate: Gate, text: str = "text", p_target: Column | Non
     Everything happens inside the row's chunk array: nothing is exploded or shuffled."""
     p_target, p_other = p_target if p_target is not None else F.lit(0.0), p_other if p_other is not None else F.lit(0.0)
 
-    def one(c: Column) -> Column:
-        target, other = signals(c, gate, p_target, p_other)
-        return F.struct(F.length(c).alias("n"), chunk_label(target, other, gate).alias("label"))
+    def one(x: Column) -> Column:
+        target, other = signals(x["low"], x["words"], gate, p_target, p_other)
+        return F.struct(x["n"].alias("n"), chunk_label(target, other, gate).alias("label"))
 
-    out = df.withColumn("_chunks", F.transform(chunks(F.col(text), gate.chunk_chars), one))
+    # each step keeps what the next one uses several times: the letters of a chunk are cut once
+    lowered = F.transform(chunks(F.col(text), gate.chunk_chars), lambda c: F.struct(F.length(c).alias("n"), F.lower(c).alias("low")))
+    cut = F.transform(lowered, lambda x: F.struct(x["n"].alias("n"), x["low"].alias("low"), F.regexp_extract_all(x["low"], F.lit(r"(\p{L}+)"), F.lit(1)).alias("words")))
+    out = df.withColumn("_chunks", F.transform(cut, one))
     chars = lambda label: F.aggregate("_chunks", F.lit(0), lambda acc, c: acc + F.when(c["label"] == label, c["n"]).otherwise(0) if label else acc + c["n"])
     out = out.withColumns({"assessed_chars": chars(None), "_t": chars(gate.target), "_o": chars(gate.other)})
     share = lambda c: F.when(F.col("assessed_chars") > 0, F.col(c) / F.col("assessed_chars")).otherwise(0.0)

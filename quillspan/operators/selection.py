@@ -44,3 +44,12 @@ def split_priority(df: DataFrame, split: str, ranks: dict[str, int], digest: Col
     keyed = df.withColumns({"digest": digest, "_order": F.struct(rank.alias("r"), order.alias("o"))})
     best = keyed.groupBy("digest").agg(F.min("_order").alias("_best"), F.count(F.lit(1)).alias("copies"))
     return keyed.join(best, "digest").withColumn("stays", F.col("_order") == F.col("_best")).drop("_order", "_best")
+
+
+def first_per_digest(df: DataFrame, split: str, ranks: dict[str, int], digest: Column, order: str) -> DataFrame:
+    """digest, split and order of the row that stays of each digest: one aggregation of small values."""
+    rank = F.lit(len(ranks))
+    for name, r in ranks.items():
+        rank = F.when(F.col(split) == name, r).otherwise(rank)
+    best = F.min(F.struct(rank.alias("r"), F.col(order), F.col(split))).alias("b")
+    return df.groupBy(digest.alias("digest")).agg(best).select("digest", f"b.{split}", f"b.{order}")

@@ -302,7 +302,8 @@ def ev09_errors_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir, "global")
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(g) AS gap, unnest(w) AS word FROM (SELECT doc_id, regexp_extract_all(text, '([^\p{L}\p{N}]*)([\p{L}\p{N}][\p{L}\p{N}\p{M}]*)', 1) AS g, regexp_extract_all(text, '([^\p{L}\p{N}]*)([\p{L}\p{N}][\p{L}\p{N}\p{M}]*)', 2) AS w FROM documents)),
+e AS (SELECT doc_id, word, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))::INT AS "end" FROM p) SELECT doc_id, word, "end" - length(word)::INT AS start, "end" FROM e""")
 def fn16_mark_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Views(spark, sf_dir).table("documents").select("doc_id", F.explode(spans.mark_aware_tokens(F.col("text"))).alias("t")).select("doc_id", "t.*")
 

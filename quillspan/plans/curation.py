@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import chunks, match_key
 from ..operators.language_gate import Gate, assess
 from ..operators.relational import latest_by, previous_value
-from ..operators.selection import label_cover, prefix_budget, seeded_sample, split_priority
+from ..operators.selection import first_per_digest, label_cover, prefix_budget, seeded_sample, split_priority
 from ..registry import query
 from .views import Views
 
@@ -22,8 +22,7 @@ def _digest():
 
 @query(f"SELECT doc_id, split, {_DIGEST} AS digest FROM splits QUALIFY row_number() OVER (PARTITION BY digest ORDER BY {_RANK}, doc_id) = 1")
 def st03_exact_dedup_split_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = split_priority(Views(spark, sf_dir).splits, "split", {"test": 0, "dev": 1, "train": 2}, _digest(), F.col("doc_id"))
-    return rows.where("stays").select("doc_id", "split", "digest")
+    return first_per_digest(Views(spark, sf_dir).splits, "split", {"test": 0, "dev": 1, "train": 2}, _digest(), "doc_id").select("doc_id", "split", "digest")
 
 
 @query(f"""SELECT split, count(*) AS rows, count_if(rn > 1) AS removed FROM (SELECT split, row_number() OVER (PARTITION BY {_DIGEST} ORDER BY {_RANK}, doc_id) AS rn FROM splits) GROUP BY split""")

@@ -461,3 +461,20 @@ def login_rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = Views(spark, sf_dir).table("events").where("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id", "ts", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
     w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-900, 0)
     return failed.withColumn("attempts", F.count(F.lit(1)).over(w)).withColumn("blocked", F.col("attempts") > 5).drop("s")
+
+
+@query("""SELECT id, title, year FROM articles UNION ALL SELECT 1000000 + l_orderkey, 'new ' || l_linenumber, 2026 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45)""")
+def snk01_appended_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored articles and those a crawl adds: rows are appended as they are."""
+    v = Views(spark, sf_dir)
+    new = v.table("lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber").distinct()
+    new = new.select((F.col("l_orderkey") + 1_000_000).alias("id"), F.concat(F.lit("new "), F.col("l_linenumber").cast("string")).alias("title"), F.lit(2026).alias("year"))
+    return v.articles.select("id", "title", "year").unionByName(new)
+
+
+@query("""SELECT id, document_id, expert_id, 'review' AS kind FROM reviews UNION ALL SELECT id, document_id, reviewer_id, 'adjudication' FROM adjudications""")
+def snk07_append_only_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews and adjudications as one log to which rows are only added."""
+    v = Views(spark, sf_dir)
+    reviews = v.reviews.select("id", "document_id", "expert_id", F.lit("review").alias("kind"))
+    return reviews.unionByName(v.adjudications.select("id", "document_id", F.col("reviewer_id").alias("expert_id"), F.lit("adjudication").alias("kind")))

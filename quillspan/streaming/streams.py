@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,17 +51,39 @@ def event_counts(events: DataFrame, at: str, kind: str, delay: str = "10 minutes
     return events.withWatermark(at, delay).groupBy(F.window(at, width), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), kind, "n")
 
 
-def latest_into(path: str, keys: list[str], order: list[str], read: Callable[[], DataFrame | None]) -> Callable[[DataFrame, int], None]:
+def latest_into(path: str, keys: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps the latest row per key in a parquet table.
 
-    Each batch writes a new version folder, so a failed batch leaves the one before whole; a batch that is
-    run again overwrites its own folder."""
+    Keys are dealt to buckets; a batch reads and writes only the buckets that it touches, each as a new
+    version. A failed batch leaves the versions before it whole, and a batch that is run again overwrites
+    its own. latest_rows() reads the table."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        known = read()
-        newest = [F.desc(c) for c in order]
-        merged = batch if known is None else known.unionByName(batch)
-        rows = upsert(merged.limit(0), merged, keys, newest)
-        rows.write.mode("overwrite").parquet(f"{path}/version={number}")
+        spark = batch.sparkSession
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in placed.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        known = latest_rows(spark, path, touched, number)
+        every = placed if known is None else known.unionByName(placed)
+        rows = upsert(every.limit(0), every, keys, [F.desc(c) for c in order])
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
 
     return merge
+
+
+def latest_rows(spark: SparkSession, path: str, buckets: list[int] | None = None, before: int | None = None) -> DataFrame | None:
+    """The rows of a table of latest_into(), with their bucket, or None if nothing was written yet.
+
+    Of each bucket (of these) the highest version (below `before`) counts; versions and buckets are folder
+    names, so only the files of those are read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    newest: dict[int, tuple[int, str]] = {}
+    for version in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/bucket=*")) or []:
+        folder = version.getPath()
+        number, bucket = int(folder.getParent().getName()[8:]), int(folder.getName()[7:])
+        if (before is None or number < before) and (buckets is None or bucket in buckets):
+            newest[bucket] = max(newest.get(bucket, (-1, "")), (number, folder.toString()))
+    if not newest:
+        return None
+    parts = [spark.read.parquet(folder).withColumn("bucket", F.lit(bucket)) for bucket, (_, folder) in sorted(newest.items())]
+    return reduce(DataFrame.unionByName, parts)

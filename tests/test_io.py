@@ -10,7 +10,7 @@ from quillspan.operators import layout
 from quillspan.operators.language_gate import Gate, assess
 from quillspan.operators.relational import latest_by, upsert
 from quillspan.sources import readers, writers
-from quillspan.streaming.streams import event_counts, latest_into, new_fingerprints, rate_limit
+from quillspan.streaming.streams import event_counts, latest_into, latest_rows, new_fingerprints, rate_limit
 
 
 def test_jsonl(spark, tmp_path):
@@ -126,6 +126,13 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in run(event_counts(source(), "at", "who"), "complete", "counts")) == len(base)
     qa = source().select("at", F.lit("Q").alias("question"), F.col("who").alias("answer"))
     assert len(run(new_fingerprints(qa, "at", "5 hours").select("fingerprint"), "append", "fresh")) == 2
-    merge = latest_into(str(tmp_path / "latest"), ["who"], ["at"], lambda: None)
+    merge = latest_into(str(tmp_path / "latest"), ["who"], ["at"], buckets=4)
+    assert latest_rows(spark, str(tmp_path / "latest")) is None
     merge(rows, 0)
-    assert spark.read.parquet(str(tmp_path / "latest" / "version=0")).count() == 2
+    merge(rows, 0)  # a batch that is run again
+    first = {r.who: r.at for r in latest_rows(spark, str(tmp_path / "latest")).collect()}
+    assert first == {r.who: r.m for r in rows.groupBy("who").agg(F.max("at").alias("m")).collect()} and len(first) == 2
+    one = sorted(first)[0]
+    merge(rows.where(F.col("who") == one).limit(1).withColumn("at", F.timestamp_seconds(F.lit(4_000_000_000))).select(rows.columns), 1)
+    second = {r.who: r.at for r in latest_rows(spark, str(tmp_path / "latest")).collect()}
+    assert len(second) == 2 and second[one] > first[one] and all(second[k] == first[k] for k in first if k != one)
