@@ -44,9 +44,13 @@ def chat_records(df: DataFrame, system: str, prompt: Column, answer: Column) ->
     return df.withColumn("record", F.to_json(F.struct(instruction.alias("systemInstruction"), F.array(turn("user", prompt), turn("model", answer)).alias("contents"))))
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """A CSV of a metric table; it has one row a label, so one file holds it."""
-    metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_metrics(metrics: DataFrame, path: str, mark: bool = True) -> None:
+    """A CSV of a metric table, led by a byte-order mark that spreadsheets look for.
+
+    The table has one row a label, so one file holds it."""
+    first = metrics.columns[0]
+    marked = metrics.withColumnRenamed(first, "\ufeff" + first) if mark else metrics
+    marked.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def markdown(metrics: DataFrame, title: str) -> str:
@@ -73,6 +77,15 @@ def sequence_names(df: DataFrame, slug: str, order: Column, existing: DataFrame
     return out.withColumn("name", F.format_string("%s_%06d", slug, "_n")).drop("_n")
 
 
+def collision_names(df: DataFrame, name: str, digest: Column, existing: DataFrame) -> DataFrame:
+    """Add `target`: the name, or name_hash.ext with the first ten characters of the digest where `existing`
+    (name) has it already."""
+    stem, ending = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
+    taken = existing.select(name).distinct().withColumn("_taken", F.lit(True))
+    hashed = F.concat(stem, F.lit("_"), F.substring(digest, 1, 10), ending)
+    return df.join(taken, name, "left").withColumn("target", F.when(F.col("_taken"), hashed).otherwise(F.col(name))).drop("_taken")
+
+
 def write_routed(df: DataFrame, status: str, path: str) -> None:
     """Rows in one folder per status, such as accepted and quarantine."""
     df.write.mode("overwrite").partitionBy(status).json(path)

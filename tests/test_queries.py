@@ -3,7 +3,7 @@
 import oracle
 import pytest
 from conftest import SMALL
-from quillspan.plans import alignment, annotation, curation, dictionary, front_matter, ner, records, reports, review, text, web  # noqa: F401
+from quillspan.plans import alignment, annotation, curation, dictionary, front_matter, ner, records, reports, review, stores, text, web  # noqa: F401
 from quillspan.plans.views import with_views
 from quillspan.registry import ORACLES, QUERIES
 
