@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import chunks, match_key
 from ..operators.language_gate import Gate, assess
 from ..operators.relational import latest_by, previous_value
+from ..operators.search import containing
 from ..operators.selection import first_per_digest, label_cover, prefix_budget, seeded_sample, split_priority
 from ..registry import query
 from .views import Views
@@ -40,17 +41,10 @@ def st05_leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def benchmark_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages inside documents: the passage's first words are looked up among the words'
-    runs of all documents, and only those hits are compared as text. Passages of fewer than 24
-    characters have no such run: they are compared with every document."""
+    """Benchmark passages inside documents, at any place."""
     v = Views(spark, sf_dir)
-    items = v.table("benchmark").select("item_id", F.col("text").alias("passage")).withColumn("head", F.substring("passage", 1, 24))
-    long, short = items.where("length(head) = 24"), items.where("length(head) < 24")
-    starts = v.table("documents").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1)))).alias("at"))
-    hits = starts.select("doc_id", F.expr("substring(text, at, 24)").alias("head")).join(long.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
-    docs = v.table("documents").select("doc_id", "text")
-    found = hits.join(long.select("item_id", "passage"), "item_id").join(docs, "doc_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    return found.unionByName(short.join(docs, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"))
+    items = v.table("benchmark").select("item_id", F.col("text").alias("passage"))
+    return containing(v.table("documents").select("doc_id", "text"), items, "doc_id", "item_id").select("item_id", "doc_id")
 
 
 @query("""SELECT conv_id, turn, sha256(lower(question) || chr(10) || lower(answer)) AS fingerprint FROM qa QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY conv_id, turn) = 1""")

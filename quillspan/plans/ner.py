@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import runs_of
 from ..operators import ner
 from ..registry import query
 from .annotation import BASE, MARKED
@@ -21,16 +22,6 @@ UNION ALL SELECT doc_id, pos, pos + g.n, g.n, a.key, a.label, 'accentless' FROM
 _WITH = f"WITH grams AS ({_GRAMS}), phrases AS ({_PHRASES}), plain_terms AS ({_PLAIN}), found AS ({_FOUND}) "
 
 
-def runs_of(keys: Column, n: int) -> Column:
-    """The distinct runs of n words of an array, built by zipping it with itself shifted: linear in its length."""
-    runs = keys
-    for k in range(1, n):
-        left = F.slice(runs, F.lit(1), F.greatest(F.size(keys) - k, F.lit(0)))
-        right = F.slice(keys, F.lit(k + 1), F.greatest(F.size(keys) - k, F.lit(0)))
-        runs = F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(runs)
-
-
 class Terms:
     """Token arrays of the documents and the terms found in them."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import all_of, append_missing, contains_text, keep_known, keep_old, latest_by, page, replace_by_key, upsert
+from ..operators.search import containing
 from ..registry import query
 from .views import Views
 
@@ -83,20 +84,11 @@ def q09_newest_crawl_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT b.item_id, substring(b.text, 1, 45) AS probe FROM benchmark b
 WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, substring(b.text, 1, 45))) ORDER BY b.item_id LIMIT 50""")
 def q10_reconciliation_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probes found in no document. A probe of 45 characters begins somewhere: documents are cut into
-    all their runs of that length only where the first 12 characters are those of a probe, so the
-    search is an equality join and not a nested loop."""
+    """Probes found in no document: words inside a probe are looked up, so the search is no nested loop."""
     v = Views(spark, sf_dir)
     probes = v.table("benchmark").select("item_id", F.substring("text", 1, 45).alias("probe"))
-    short = probes.where(F.length("probe") < 12)
-    long = probes.where(F.length("probe") >= 12).withColumn("head", F.substring("probe", 1, 12))
-    docs = v.table("documents").select("text")
-    starts = docs.select("text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 11, F.lit(1)))).alias("at"))
-    heads = starts.select(F.expr("substring(text, at, 12)").alias("head"), F.expr("substring(text, at, 45)").alias("run"))
-    heads = heads.join(long.select("head").distinct(), "head", "left_semi").distinct()
-    found = long.join(heads, "head").where(F.col("run").startswith(F.col("probe"))).select("item_id").distinct()
-    found = found.unionByName(short.join(docs, F.col("text").contains(F.col("probe")), "left_semi").select("item_id"))
-    return probes.join(found, "item_id", "left_anti").orderBy("item_id").limit(50)
+    found = containing(v.table("documents").select("doc_id", "text"), probes.withColumnRenamed("probe", "passage"), "doc_id", "item_id")
+    return probes.join(found.select("item_id").distinct(), "item_id", "left_anti").orderBy("item_id").limit(50)
 
 
 @query("""SELECT id, surface_form, concept_code, match_method, status, confidence FROM aliases

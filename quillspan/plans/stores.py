@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.text import runs_of
 from ..operators.alignment import hits
 from ..operators.layout import numbering_depth
 from ..operators.relational import keep_old, latest_by, upsert
 from ..registry import query
 from ..sources import readers, writers
-from .ner import runs_of
 from .views import Views
 
 

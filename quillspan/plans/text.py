@@ -133,7 +133,7 @@ def fn15_tokens_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn19_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All places of one phrase in every document, overlapping ones too."""
     docs = _docs(spark, sf_dir).where("contains(text, 'tion')")
-    return docs.select("doc_id", F.explode(text.occurrences(F.col("text"), F.lit("tion"))).alias("start")).select("doc_id", F.col("start").cast("long").alias("start"))
+    return docs.select("doc_id", F.explode(text.occurrences(F.col("text"), "tion")).alias("start")).select("doc_id", F.col("start").cast("long").alias("start"))
 
 
 @query("""SELECT doc_id, s, substring(text, greatest(s - 50, 0) + 1, least(s + 5 + 50, length(text)) - greatest(s - 50, 0)) AS context
