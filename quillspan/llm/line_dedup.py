@@ -4,7 +4,11 @@ Hashes of long lines are range-partitioned and sorted by hash, document and posi
 hash is led by a header row that names the document which keeps it, so one pass over the sorted rows
 tells first occurrences from the rest. Headers come from counts that are aggregated before they are
 shuffled; a hot hash is dealt to several salts, each with its own header. The result is a keep bitmap
-per document, packed eight lines a byte, and null where nothing goes: texts are never shuffled by line.
+per document, compressed to its run lengths, and null where nothing goes: texts are never shuffled by line.
+
+A bitmap is the lengths of its runs, kept and dropped lines in turn, from a run of kept lines (of length 0
+if the first line goes) to the last run of dropped ones; what follows is kept. A length below 2^6 takes one
+byte, below 2^14 two and else four; the top two bits 0, 1 or 2 tell which, and the rest is the number.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import beside, checkpoint, kept
+from .common import beside, checkpoint
+from .common import kept as kept_columns
 
 #: White space stripped from lines, and the lines that count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -64,17 +69,17 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     return led.where((F.col("kind") == 1) & F.col("keeper").isNotNull() & (F.col("doc") != F.col("keeper"))).select("doc", "th", "pos")
 
 
-def _bitmap(drops: Column, n_lines: Column) -> Column:
-    """Binary with bit i (from the highest bit of the first byte) set where line i stays."""
-    runs = F.transform(drops, lambda p, i: F.concat(F.repeat(F.lit("1"), p - F.coalesce(F.get(drops, i - 1), F.lit(-1)) - 1), F.lit("0")))
-    tail = F.repeat(F.lit("1"), n_lines - F.element_at(drops, -1) - 1)
-    bits = F.concat(F.array_join(runs, ""), tail, F.repeat(F.lit("0"), F.pmod(-n_lines, F.lit(8))))
-    return F.unhex(F.array_join(F.transform(F.regexp_extract_all(bits, F.lit("([01]{8})"), F.lit(1)), lambda b: F.lpad(F.conv(b, 2, 16), 2, "0")), ""))
+def _length_code(n: Column) -> Column:
+    """A run length in hexadecimal digits."""
+    wide = n.cast("long")
+    return F.when(wide < 1 << 6, F.lpad(F.hex(wide), 2, "0")).when(wide < 1 << 14, F.hex(wide + (1 << 14))).otherwise(F.hex(wide + (1 << 31)))
 
 
-def _bit(bitmap: Column, i: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, 7 - F.pmod(i, F.lit(8))) == 1
+def _run_lengths(bitmap: Column) -> Column:
+    """The run lengths in a bitmap: the first digit of a code tells its width."""
+    codes = F.regexp_extract_all(F.hex(bitmap), F.lit("([0-3][0-9A-F]|[4-7][0-9A-F]{3}|[89AB][0-9A-F]{7})"), F.lit(1))
+    base = lambda c: F.when(F.length(c) == 2, 0).when(F.length(c) == 4, 1 << 14).otherwise(F.lit(1 << 31))
+    return F.transform(codes, lambda c: (F.conv(c, 16, 10).cast("long") - base(c)).cast("int"))
 
 
 def keep_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -90,11 +95,18 @@ def keep_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     out = rows.join(drops, (F.col("new.id") == F.col("doc")) & (F.col("new.th") == F.col("doc_th")), "left")
     n_lines = F.size(split_lines(F.col("row")[text]))
     n_dropped = F.coalesce(F.size("drops"), F.lit(0)).cast("long")
-    bitmap = F.when(F.col("drops").isNotNull(), _bitmap(F.col("drops"), n_lines))
-    return out.select(*kept(df, "n_lines", "n_dropped", "keep_bitmap"), n_lines.cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), bitmap.alias("keep_bitmap"))
+    d = F.col("drops")
+    begins = F.filter(d, lambda p, i: (i == 0) | (F.get(d, i - 1) != p - 1))
+    ends = F.filter(d, lambda p, i: (i == F.size(d) - 1) | (F.get(d, i + 1) != p + 1))
+    runs = out.withColumns({"begins": begins, "ends": ends})
+    before = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(-1))
+    codes = F.transform("begins", lambda p, i: F.concat(_length_code(p - before(i) - 1), _length_code(F.get("ends", i) - p + 1)))
+    bitmap = F.when(d.isNotNull(), F.unhex(F.array_join(codes, "")))
+    return runs.select(*kept_columns(df, "n_lines", "n_dropped", "keep_bitmap"), n_lines.cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), bitmap.alias("keep_bitmap"))
 
 
 def kept_text(text: Column, bitmap: Column) -> Column:
-    """The lines whose bits are set, joined by line ends; all of the text (null: empty) without a bitmap."""
-    kept = F.array_join(F.filter(split_lines(text), lambda line, i: _bit(bitmap, i)), "\n")
-    return F.when(bitmap.isNull(), F.coalesce(text, F.lit(""))).otherwise(kept)
+    """The kept lines, joined by line ends; all of the text (null: empty) without a bitmap."""
+    flags = F.flatten(F.transform(_run_lengths(bitmap), lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    kept = F.zip_with(split_lines(text), flags, lambda line, keep: F.when(F.coalesce(keep, F.lit(True)), line))
+    return F.when(bitmap.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.array_compact(kept), "\n"))

@@ -95,15 +95,18 @@ WITH lines AS (
   SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
 ), judged AS (
   SELECT k.*, r.keeper IS NOT NULL AND k.doc_id <> r.keeper AS dropped FROM keyed k LEFT JOIN repeated r USING (key)
-), packed AS (
-  SELECT doc_id, pos, line, dropped, pos // 8 AS byte, CASE WHEN dropped THEN 0 ELSE 128 >> (pos % 8)::INT END AS bit FROM judged
-), bytes AS (
-  SELECT doc_id, string_agg(printf('%02X', b::INT), '' ORDER BY byte) AS hex FROM (SELECT doc_id, byte, sum(bit) AS b FROM packed GROUP BY doc_id, byte) GROUP BY doc_id
+), marked AS (
+  SELECT *, CASE WHEN lag(dropped) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM dropped THEN 1 ELSE 0 END AS opens FROM judged
+), runs AS (
+  SELECT doc_id, run, any_value(dropped) AS dropped, count(*) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marked) GROUP BY doc_id, run
+), pairs AS (
+  SELECT doc_id, run, dropped, unnest([0, 1]) AS part, unnest([coalesce(lag(n) OVER (PARTITION BY doc_id ORDER BY run), 0), n]) AS n FROM runs
+), maps AS (
+  SELECT doc_id, unhex(string_agg(CASE WHEN n < 64 THEN printf('%02X', n) WHEN n < 16384 THEN printf('%04X', n + 16384) ELSE printf('%08X', n + 2147483648) END, '' ORDER BY run, part)) AS keep_bitmap FROM pairs WHERE dropped GROUP BY doc_id
 )
-SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256,
-  CASE WHEN count_if(dropped) > 0 THEN unhex(any_value(hex)) END AS keep_bitmap
-FROM packed JOIN bytes USING (doc_id) GROUP BY doc_id
+SELECT j.doc_id, count(*)::BIGINT AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256, any_value(keep_bitmap) AS keep_bitmap
+FROM judged j LEFT JOIN maps m USING (doc_id) GROUP BY j.doc_id
 """
 
 OP3_SQL = """

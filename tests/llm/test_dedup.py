@@ -42,6 +42,17 @@ def test_lines(spark):
     assert keep_bitmaps(df.limit(0)).count() == 0
 
 
+def test_bitmaps_are_run_lengths(spark):
+    """Runs of every width, read back to the lines that stay."""
+    long = [f"line {i}" for i in range(20_000)]
+    many = "\n".join([LONG % 1] * 3 + long[:100] + [LONG % 1] * 70 + long + [LONG % 1] + long[:5])
+    rows = [(i, LONG % 1) for i in range(5)] + [(5, many), (9, LONG % 1)]
+    got = {r.doc_id: (bytes(r.keep_bitmap) if r.keep_bitmap is not None else None, r.kept) for r in keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_bitmap", kept_text(F.col("text"), F.col("keep_bitmap")).alias("kept")).collect()}
+    want = bytes([0, 3, 0x40, 100, 0x40, 70]) + (20_000 + (1 << 31)).to_bytes(4, "big") + bytes([1])
+    assert got[5] == (want, "\n".join(long[:100] + long + long[:5]))
+    assert got[0] == (bytes([0, 1]), "") and got[9] == (None, LONG % 1)
+
+
 def shingles(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
