@@ -52,18 +52,18 @@ def keyed_tokens(text: Column) -> Column:
 
 
 def phrase_hits(docs: DataFrame, keys: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """doc, key, plain, start, end, n and tail of each run of tokens whose key or plain form is in keys (key).
+    """doc, key, plain, start, end, n and tail of each run of tokens that is as long as a key that begins
+    with its first word; those in keys (key) are among them.
 
     docs has doc and tokens (TOKENS). A token joins by its own word to the lengths of the keys that begin
-    with it; only those runs are built."""
+    with it; only those runs are built. Nothing but that join moves rows."""
     sized = keys.select(F.substring_index("key", " ", 1).alias("head"), F.size(F.split("key", " ")).alias("n")).distinct()
     longest = sized.agg(F.max("n")).first()[0] or 0
     heads = sized.groupBy("head").agg(F.array_sort(F.collect_set("n")).alias("sizes"))
     places = F.sequence(F.lit(1), F.size("tokens"))
     rows = docs.where(F.size("tokens") > 0).select(doc, F.explode(F.transform(places, lambda i: F.slice("tokens", i, F.lit(max(longest, 1))))).alias("w"))
     first = F.col("w")[0]
-    words = rows.withColumn("head", F.explode(F.array_distinct(F.array(first["key"], first["plain"]))))
-    hits = words.join(heads, "head").select(doc, "w", F.explode("sizes").alias("n")).where(F.col("n") <= F.size("w")).distinct()
+    hits = rows.withColumn("head", first["key"]).join(heads, "head").select(doc, "w", F.explode("sizes").alias("n")).where(F.col("n") <= F.size("w"))
     part = F.slice("w", F.lit(1), F.col("n"))
     last = F.element_at("w", F.col("n"))
     joined = lambda field: F.array_join(F.transform(part, lambda t: t[field]), " ")
@@ -75,7 +75,8 @@ def candidates(docs: DataFrame, index: DataFrame, accentless: DataFrame, doc: st
     """Spans of all runs of tokens that one concept's key names: start, end, method, confidence, concept.
 
     index: key, concept_id, code, category, alias_type, match_term and case_sensitive, a row a key.
-    accentless: plain and key; it serves only runs that have no marks themselves and are no key. A
+    accentless: plain and key; it serves only runs that have no marks themselves (so their first word is
+    that of the plain form) and are no key. A
     case-sensitive term counts only in capitals. Punctuation that ends the dictionary's spelling is
     taken into the span. docs has doc, tokens and text."""
     every = index.select("key").unionByName(accentless.select(F.col("plain").alias("key")))
