@@ -449,8 +449,9 @@ def ag18_frequency_share(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) > 5 AS blocked
 FROM (SELECT event_id AS id, user_id, ts, epoch(ts)::BIGINT AS s FROM events WHERE event_type = 'error')""")
 def login_rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures of a user in the last 900 seconds; over 5 block."""
-    failed = Views(spark, sf_dir).table("events").where("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id", "ts", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    """Failures of a user in the last 900 seconds, of times rounded to seconds as in the SQL; over 5 block."""
+    seconds = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    failed = Views(spark, sf_dir).table("events").where("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id", "ts", seconds.alias("s"))
     w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-900, 0)
     return failed.withColumn("attempts", F.count(F.lit(1)).over(w)).withColumn("blocked", F.col("attempts") > 5).drop("s")
 
