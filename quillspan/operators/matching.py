@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded
 from .relational import safe_ratio
 
 _PAIRS = pa.list_(pa.struct([("pred", pa.int32()), ("gold", pa.int32()), ("score", pa.float64())]))
@@ -114,7 +115,7 @@ def match_spans(pred: Column, gold: Column, method: str = "greedy") -> Column:
 
     @F.arrow_udf("array<struct<pred:int,gold:int,score:double>>")
     def match(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
+        for a, b in bounded(batches):
             yield pa.array([[{"pred": i, "gold": j, "score": s} for i, j, s in MATCHERS[method](p or [], g or [])] for p, g in zip(a.to_pylist(), b.to_pylist(), strict=True)], _PAIRS)
 
     return match(pred, gold)
@@ -191,7 +192,7 @@ def type_errors(pred: Column, gold: Column, method: str = "reusing_gold") -> Col
 
     @F.arrow_udf("array<struct<type:string,pred:int,gold:int,score:double>>")
     def errors(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
+        for a, b in bounded(batches):
             yield pa.array([TYPING[method](p or [], g or []) for p, g in zip(a.to_pylist(), b.to_pylist(), strict=True)], _ERRORS)
 
     return errors(pred, gold)
