@@ -29,6 +29,8 @@ METHOD_RANK = {"exact": 0, "abbreviation": 1, "alias": 2, "clinical_form": 2, "a
 AMBIGUOUS_CONFIDENCE, SUGGESTIONS = 0.25, 100
 #: Fixed value: bits of the bitmap of key hashes (8 MB).
 BITS = 1 << 26
+#: Fixed value: shapes of terms that are listed; with more, runs are told by the lengths of their parts.
+SHAPES = 1000
 TOKENS = "array<struct<key:string,plain:string,start:int,end:int,tail:string>>"
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 _TAIL = regex.compile(r"[^\w\s]*")
@@ -304,30 +306,71 @@ def bounded_terms(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text:
     """doc, start, end, term and its other columns for each place where a term (in lower case) stands as it
     is written, between characters that are no letter, digit or underscore.
 
-    A term is looked up by its first word; what stands around that word decides. Terms without a letter
-    or digit have no word and are not found."""
+    A term is cut into words and what stands around them. Its shape is the latter; a run of words whose
+    surroundings have a term's shape meets the terms by an equality join on the whole spelling. Neither a text
+    nor a word that belongs to no shape is moved, and a common first word costs nothing. Terms without a
+    letter or digit have no word and are not found."""
     word = r"[\p{L}\p{N}_]+"
     low = F.lower(F.col("term"))
-    asked = terms.withColumns({"_low": low, "_head": F.regexp_extract(low, f"({word})", 1)}).where("_head <> ''")
-    asked = asked.withColumns({"_before": F.instr("_low", F.col("_head")) - 1, "_size": F.length("_low")})
-    most = asked.agg(F.max("_size"), F.max("_before")).first()
-    longest, ahead = most[0] or 1, most[1] or 0
-    body = F.lower(F.col(text))
-    pieces = docs.select(F.col(doc).alias("_doc"), body.alias("_t"), F.split(body, word, -1).alias("_gaps"), F.regexp_extract_all(body, F.lit(f"({word})"), F.lit(1)).alias("_words"))
-    words = pieces.select("_doc", "_t", F.posexplode(F.arrays_zip("_words", "_gaps")).alias("_i", "_z")).where("_z._words IS NOT NULL")
-    upto = Window.partitionBy("_doc").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    place = F.sum(F.length("_z._words") + F.length("_z._gaps")).over(upto) - F.length("_z._words")
-    placed = words.select("_doc", F.col("_i"), "_z", "_t").withColumn("_at", place.cast("int"))
-    window = F.substring("_t", F.greatest(F.col("_at") - ahead, F.lit(0)) + 1, F.lit(longest + ahead + 2) + F.least(F.col("_at"), F.lit(ahead)))
-    near = placed.select("_doc", "_at", F.col("_z._words").alias("_word"), F.least(F.col("_at"), F.lit(ahead)).alias("_lead"), window.alias("_near"))
-    hit = near.join(asked, F.col("_word") == F.col("_head")).where("_before <= _at")
-    begin = F.col("_lead") - F.col("_before")
-    same = F.substring("_near", begin + 1, F.col("_size")) == F.col("_low")
-    after = F.substring("_near", begin + F.col("_size") + 1, F.lit(1))
-    ahead_of = F.when((F.col("_before") > 0) & (begin > 0), F.substring("_near", begin, F.lit(1))).otherwise("")
-    free = lambda c: ~c.rlike(r"^[\p{L}\p{N}_]")
-    start = F.col("_at") - F.col("_before")
-    return hit.where(same & free(after) & free(ahead_of)).select(F.col("_doc").alias(doc), start.alias("start"), (start + F.col("_size")).cast("int").alias("end"), *terms.columns)
+    parts = lambda c: (F.regexp_extract_all(c, F.lit(f"({word})"), F.lit(1)), F.split(c, word, -1))
+    words, gaps = parts(low)
+    asked = terms.withColumns({"_low": low, "_n": F.size(words), "_gaps": gaps}).where("_n > 0")
+    shapes = [tuple(r[0]) for r in asked.select("_gaps").distinct().limit(SHAPES + 1).collect()]
+    if len(shapes) > SHAPES:  # too many to be listed: by the number of words and the lengths around them
+        shapes = [(" " * r[1], *[None] * (r[0] - 1), " " * r[2]) for r in asked.select("_n", F.length(F.col("_gaps")[0]), F.length(F.element_at("_gaps", -1))).distinct().collect()]
+        anyhow = True
+    else:
+        anyhow = False
+    own_words, own_gaps = parts(F.lower(F.col(text)))
+    docs = docs.select(F.col(doc).alias("_doc"), own_words.alias("_words"), own_gaps.alias("_gaps")).where(F.size("_words") > 0)
+    found = docs.select("_doc", F.explode(_shaped(F.col("_words"), F.col("_gaps"), shapes, anyhow)).alias("x")).select("_doc", "x.start", "x.spelled")
+    hit = found.join(asked, F.col("spelled") == F.col("_low"))
+    return hit.select(F.col("_doc").alias(doc), "start", (F.col("start") + F.length("spelled")).cast("int").alias("end"), *terms.columns)
+
+
+def shaped_runs(words: list[str], gaps: list[str], shapes: list[tuple], anyhow: bool) -> list[tuple[int, str]]:
+    """(start, spelling) of each run of words that has one of the shapes: what stands before, between and after.
+
+    What stands before and after is the end and the beginning of the gap there; it has no letter, digit or
+    underscore, so a gap that is longer gives a boundary. With anyhow only its length and the count of words decide."""
+    starts, at = [], 0
+    for gap, w in zip(gaps, words, strict=False):
+        starts.append(at + len(gap))
+        at += len(gap) + len(w)
+    by: dict[tuple, list[tuple[str, str]]] = {}
+    for shape in shapes:
+        by.setdefault(shape[1:-1], []).append((shape[0], shape[-1]))
+    sizes = {len(inner) for inner in by}
+    out = []
+    for i in range(len(words)):
+        for n in sizes:
+            if i + n >= len(words):
+                continue
+            inner = tuple(gaps[i + 1 : i + n + 1])
+            ends = by.get((None,) * n if anyhow else inner)
+            if not ends:
+                continue
+            body = words[i] + "".join(g + w for g, w in zip(inner, words[i + 1 : i + n + 1], strict=True))
+            lead, tail = gaps[i], gaps[i + n + 1]
+            for before, after in ends:
+                if (before and i and len(before) == len(lead)) or (after and i + n + 1 < len(words) and len(after) == len(tail)):
+                    continue  # another word begins or ends right there
+                if anyhow:
+                    if len(before) <= len(lead) and len(after) <= len(tail):
+                        out.append((starts[i] - len(before), lead[len(lead) - len(before) :] + body + tail[: len(after)]))
+                elif lead.endswith(before) and tail.startswith(after):
+                    out.append((starts[i] - len(before), before + body + after))
+    return out
+
+
+def _shaped(words: Column, gaps: Column, shapes: list[tuple], anyhow: bool) -> Column:
+    @F.arrow_udf("array<struct<start:int,spelled:string>>")
+    def runs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("spelled", pa.string())]))
+        for a, b in bounded(batches):
+            yield pa.array([[{"start": i, "spelled": t} for i, t in shaped_runs(x, y, shapes, anyhow)] for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind)
+
+    return runs(words, gaps)
 
 
 def longest_terms(hits: DataFrame, limit: int = 40, doc: str = "doc_id") -> DataFrame:
